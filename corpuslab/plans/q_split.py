@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import r6
+
 from ..functions import text as tx
 from ..operators import prep, rank, split
 from ..sources.tables import read_table
@@ -74,7 +76,7 @@ def stratified_split(spark, sf):
 
 @query("split_balance", ops="J7 T1-T5 R2 A1", sql=f"""
 WITH {STRAT_SQL}
-SELECT split, label, count(*) AS n, round(avg(len({q.clean_tokens('text')})), 6) AS mean_words
+SELECT split, label, count(*) AS n, round(1e-10 + avg(len({q.clean_tokens('text')})), 6) AS mean_words
 FROM s GROUP BY split, label""")
 def split_balance(spark, sf):
     """Minimum slice: labelled documents -> cleaned tokens -> stratified split ->
@@ -83,7 +85,7 @@ def split_balance(spark, sf):
     s = split.stratified_split(df, "label", 0.2, "doc_id", SEED)
     return (s.withColumn("n_words", F.size(prep.clean_tokens(F.col("text"))))
             .groupBy("split", "label")
-            .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_words"), 6).alias("mean_words")))
+            .agg(F.count(F.lit(1)).alias("n"), r6(F.avg("n_words"), 6).alias("mean_words")))
 
 
 @query("random_split", ops="R4", sql=f"""

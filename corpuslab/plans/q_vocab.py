@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import r6
+
 from ..functions import text as tx
 from ..operators import features as fe
 from ..operators import vocab as vb
@@ -131,13 +133,13 @@ def _emb(spark, sf):
 
 @query("embedding_table", ops="J1 M6", sql=f"""
 WITH {vocab_ctes()}, {EMB_CTE}
-SELECT idx, word, found, round(list_sum(vec), 6) AS vec_sum, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS vec_l2
+SELECT idx, word, found, round(1e-10 + list_sum(vec), 6) AS vec_sum, round(1e-10 + sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS vec_l2
 FROM emb""")
 def embedding_table(spark, sf):
     _, _, emb = _emb(spark, sf)
     return emb.select("idx", "word", "found",
-                      F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"),
-                      F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("vec_l2"))
+                      r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"),
+                      r6(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("vec_l2"))
 
 
 def _pool_sql(fn: str) -> str:
@@ -146,7 +148,7 @@ WITH {vocab_ctes()}, {EMB_CTE},
 tv AS (SELECT ex.doc_id, ex.pos, emb.vec FROM ex JOIN vocab v USING (word) JOIN emb ON emb.idx = v.idx),
 dims AS (SELECT doc_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM tv),
 pd AS (SELECT doc_id, d, {fn}(x) AS m, count(*) AS n FROM dims GROUP BY doc_id, d)
-SELECT doc_id, max(n) AS n_tokens, round(sum(m), 6) AS pool_sum, round(sqrt(sum(m * m)), 6) AS pool_l2
+SELECT doc_id, max(n) AS n_tokens, round(1e-10 + sum(m), 6) AS pool_sum, round(1e-10 + sqrt(sum(m * m)), 6) AS pool_l2
 FROM pd GROUP BY doc_id"""
 
 
@@ -156,8 +158,8 @@ def _pool(spark, sf, how):
     tv = fe.token_vectors(ids, "doc_id", "ids", emb)
     p = fe.pool_vectors(tv, "doc_id", how=how)
     return p.select("doc_id", "n_tokens",
-                    F.round(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x), 6).alias("pool_sum"),
-                    F.round(F.sqrt(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("pool_l2"))
+                    r6(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x), 6).alias("pool_sum"),
+                    r6(F.sqrt(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("pool_l2"))
 
 
 @query("mean_pool", ops="A17 J1 J2", sql=_pool_sql("avg"))
@@ -183,18 +185,18 @@ def _tfidf_tokens(spark, sf):
 
 @query("idf", ops="A6", sql=f"""
 WITH {TFIDF_CTES}
-SELECT term, df, round(idf, 6) AS idf FROM idf""")
+SELECT term, df, round(1e-10 + idf, 6) AS idf FROM idf""")
 def idf(spark, sf):
     i = fe.fit_idf(_tfidf_tokens(spark, sf), "t")
-    return i.select("term", "df", F.round("idf", 6).alias("idf"))
+    return i.select("term", "df", r6("idf", 6).alias("idf"))
 
 
 @query("tfidf_weights", ops="L1 A6", sql=f"""
 WITH {TFIDF_CTES},
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY doc_id, term),
 w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * idf.idf AS w FROM tf JOIN idf USING (term))
-SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+SELECT doc_id, term, tf, round(1e-10 + w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
 def tfidf_weights(spark, sf):
     t = _tfidf_tokens(spark, sf)
     w = fe.tfidf_long(t, "doc_id", "t", fe.fit_idf(t, "t"))
-    return w.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+    return w.select("doc_id", "term", "tf", r6("weight", 6).alias("weight"))

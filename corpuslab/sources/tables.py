@@ -28,7 +28,7 @@ SCHEMAS: dict[str, T.StructType] = {
         T.StructField("embedding", T.ArrayType(T.FloatType())),
         T.StructField("label", T.IntegerType())]),
     "events": T.StructType([
-        T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+        T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
         T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
         T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())]),
 }
