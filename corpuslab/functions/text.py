@@ -120,13 +120,16 @@ def tfidf_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(TFIDF_TOKEN), 0)
 
 
-SENTENCE_END = r"(?<=[.!?])\s+"
+SENTENCE_BREAK = "\u0001"
 
 
 def sentences(c) -> Column:
-    """Split after '.', '!' or '?' followed by whitespace; empty pieces dropped."""
-    parts = F.split(strip(_c(c)), SENTENCE_END)
-    return F.filter(parts, lambda s: F.length(s) > 0)
+    """Split after '.', '!' or '?' followed by whitespace; empty pieces dropped.
+
+    The break is marked with a control character and then split on, so no
+    look-behind is needed (the same rule runs in RE2-based engines)."""
+    marked = F.regexp_replace(strip(_c(c)), r"([.!?])\s+", "$1" + SENTENCE_BREAK)
+    return F.filter(F.split(marked, SENTENCE_BREAK), lambda s: F.length(s) > 0)
 
 
 def lead_sentence(c) -> Column:

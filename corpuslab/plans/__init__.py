@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import DESCRIPTIONS, ORACLE, QUERIES
 
-_MODULES = ["q_prep", "q_split", "q_vocab", "q_metrics"]
+_MODULES = ["q_prep", "q_split", "q_vocab", "q_metrics", "q_text"]
 
 
 def load_all():
