@@ -142,7 +142,7 @@ def _batched(spark, sf):
 @query("batch_offsets", ops="W1 D2", sql=f"""
 WITH {BATCHED_SQL}
 SELECT doc_id, batch_id, n_tokens,
-       coalesce(sum(n_tokens) OVER (PARTITION BY batch_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset"
+       CAST(coalesce(sum(n_tokens) OVER (PARTITION BY batch_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
 FROM b""")
 def batch_offsets(spark, sf):
     return rank.batch_offsets(_batched(spark, sf), "n_tokens").select("doc_id", "batch_id", "n_tokens", "offset")
