@@ -37,3 +37,28 @@ def normal(*parts, seed: int = 42) -> Column:
     u1 = uniform_open(*parts, "a", seed=seed)
     u2 = uniform_open(*parts, "b", seed=seed)
     return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * 3.141592653589793) * u2)
+
+
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it inside ``fn`` (a one-element array
+    transform), so an array expression is not re-evaluated per lambda element."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def normal_vector(key: Column, dim: int, seed: int = 42) -> Column:
+    """``dim`` standard normal draws for ``key``: Box-Muller over 32-bit uniforms
+    cut from sha256(key|block|seed); one hash serves four dimensions
+    (dimension d uses block d // 4, hex slots 16*(d % 4) + [1..8] and [9..16])."""
+    blocks = (dim + 3) // 4
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)),
+                         lambda b: F.sha2(F.concat_ws("|", key.cast("string"), b.cast("string"), F.lit(str(seed))), 256))
+
+    def draw(hs):
+        def one(d):
+            h = F.element_at(hs, (F.floor(d / 4) + 1).cast("int"))
+            start = (d % 4) * 16 + 1
+            u1 = (F.conv(F.substring(h, start, F.lit(8)), 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+            u2 = (F.conv(F.substring(h, start + 8, F.lit(8)), 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+            return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * 3.141592653589793) * u2)
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
+    return let(hashes, draw)

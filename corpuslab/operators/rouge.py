@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import uniform
+from ..functions.hashing import let, uniform
 from ..functions.lcs import lcs_length, summary_lcs_scores
 
 TOKEN = "[a-z0-9]+"
@@ -30,10 +30,12 @@ def rouge_tokens(text) -> Column:
 def ngrams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
-    k = F.size(tokens) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-                                     lambda i: F.array_join(F.slice(tokens, i, n), " "))) \
-        .otherwise(F.array().cast(T.ArrayType(T.StringType())))
+    def grams(t):
+        k = F.size(t) - n + 1
+        return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
+                                         lambda i: F.array_join(F.slice(t, i, n), " "))) \
+            .otherwise(F.array().cast(T.ArrayType(T.StringType())))
+    return let(tokens, grams)
 
 
 def _prf(overlap: Column, n_pred: Column, n_ref: Column, prefix: str) -> list:

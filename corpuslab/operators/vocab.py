@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import normal
+from ..functions.hashing import normal_vector
 from .rank import Bucket, two_level_rank
 from .wordmap import map_tokens
 
@@ -77,8 +77,7 @@ def unmask_labels(labels, pad: int = 0, ignore: int = -100) -> Column:
 
 def oov_vector(key: Column, dim: int, scale: float = 0.6, seed: int = 42) -> Column:
     """M6: N(0, scale^2) per dimension, a pure function of (key, dim, seed)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda d: F.lit(scale) * normal(key, d, seed=seed))
+    return F.transform(normal_vector(key, dim, seed=seed), lambda x: F.lit(scale) * x)
 
 
 def build_embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, key: str = "idx",

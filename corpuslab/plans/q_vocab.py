@@ -113,15 +113,16 @@ def embedding_coverage(spark, sf):
     return vb.embedding_coverage(voc, read_table(spark, sf, "embeddings"))
 
 
-def _u(part: str) -> str:
-    return (f"((CAST(('0x' || substr(md5(CAST(v.idx AS VARCHAR) || '|' || CAST(d AS VARCHAR) || '|{part}|42'), 1, 8)) AS BIGINT) + 0.5)"
+def _u(slot: int) -> str:
+    h = "sha256(CAST(v.idx AS VARCHAR) || '|' || CAST(d // 4 AS VARCHAR) || '|42')"
+    return (f"((CAST(('0x' || substr({h}, CAST((d % 4) * 16 + {slot} AS INTEGER), 8)) AS BIGINT) + 0.5)"
             f" / 4294967296.0)")
 
 
 EMB_CTE = f"""
 emb AS (SELECT v.idx, v.word, e.embedding IS NOT NULL AS found,
                CASE WHEN e.embedding IS NOT NULL THEN list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))
-               ELSE list_transform(range({DIM}), lambda d: 0.6 * sqrt(-2.0 * ln({_u('a')})) * cos(2.0 * pi() * {_u('b')})) END AS vec
+               ELSE list_transform(range({DIM}), lambda d: 0.6 * sqrt(-2.0 * ln({_u(1)})) * cos(2.0 * pi() * {_u(9)})) END AS vec
         FROM vocab v LEFT JOIN embeddings e ON e.vec_id = v.idx)"""
 
 

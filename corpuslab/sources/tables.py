@@ -38,12 +38,25 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one Parquet table; the declared schema skips footer inference."""
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Give a scan at least ``target`` partitions (default: the session's
+    parallelism).  A table stored as one Parquet row group is read by a single
+    task; text work on it would then run on one core.  Large tables already
+    arrive in many splits and are left untouched (no extra shuffle)."""
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:
+    """Scan one Parquet table; the declared schema skips footer inference.
+    Filters and column pruning still reach the scan (they pass a repartition)."""
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(table_path(sf_dir, name))
+    df = reader.parquet(table_path(sf_dir, name))
+    return spread(df) if parallel else df
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
