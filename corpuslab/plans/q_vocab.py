@@ -106,7 +106,7 @@ def decode_ids(spark, sf):
 
 @query("embedding_coverage", ops="A7 J1", sql=f"""
 WITH {vocab_ctes()}
-SELECT count(e.vec_id) AS available, sum(CASE WHEN e.vec_id IS NULL THEN 1 ELSE 0 END) AS unavailable
+SELECT count(e.vec_id) AS available, CAST(sum(CASE WHEN e.vec_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unavailable
 FROM vocab v LEFT JOIN embeddings e ON e.vec_id = v.idx""")
 def embedding_coverage(spark, sf):
     voc = vb.build_vocab(_tokens(spark, sf), "t")
