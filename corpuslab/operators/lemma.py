@@ -43,8 +43,8 @@ def lemma_candidates(word: Column) -> Column:
 
 def corpus_lexicon(tokens_df: DataFrame, tokens_col: str, min_freq: int = 2) -> DataFrame:
     """Default lexicon when no word list is given: corpus words seen >= min_freq times."""
-    return (tokens_df.select(F.explode(F.col(tokens_col)).alias("word"))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    return (tokens_df.select(F.explode_outer(F.col(tokens_col)).alias("word"))
+            .where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
             .filter(F.col("freq") >= min_freq).select("word"))
 
 
@@ -77,7 +77,7 @@ def lemmatize(df: DataFrame, key_cols, tokens_col: str, lexicon: DataFrame | Non
               exceptions: DataFrame | None = None, out_col: str = "lemmas", keep_cols=()) -> DataFrame:
     """T8 over token arrays: each distinct word is lemmatised once, then mapped back."""
     lex = lexicon if lexicon is not None else corpus_lexicon(df, tokens_col)
-    words = df.select(F.explode(F.col(tokens_col)).alias("word"))
+    words = df.select(F.explode_outer(F.col(tokens_col)).alias("word"))
     table = lemma_table(words, lex, exceptions)
     changed = table.filter(F.col("lemma") != F.col("word"))
     return map_tokens(df, key_cols, tokens_col, changed, "word", "lemma", out_col, keep_cols=keep_cols)

@@ -55,7 +55,7 @@ def rouge_n(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "refere
     sizes = p.select(*keys, F.size("_pg").alias("_np"), F.size("_rg").alias("_nr"))
     tagged = F.concat(F.transform("_pg", lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))),
                       F.transform("_rg", lambda g: F.struct(g.alias("g"), F.lit(2).alias("s"))))
-    ex = p.select(*keys, F.explode(tagged).alias("_t")).select(*keys, F.col("_t.g").alias("g"), F.col("_t.s").alias("s"))
+    ex = p.select(*keys, F.explode_outer(tagged).alias("_t")).where(F.col("_t").isNotNull()).select(*keys, F.col("_t.g").alias("g"), F.col("_t.s").alias("s"))
     counts = ex.groupBy(*keys, "g").agg(F.sum(F.when(F.col("s") == 1, 1).otherwise(0)).alias("cp"),
                                         F.sum(F.when(F.col("s") == 2, 1).otherwise(0)).alias("cr"))
     ov = counts.groupBy(*keys).agg(F.sum(F.least("cp", "cr")).alias("_ov"))

@@ -19,8 +19,8 @@ from .wordmap import map_tokens
 def build_vocab(df: DataFrame, tokens_col: str, specials=("<unk>",), min_freq: int = 1) -> DataFrame:
     """A5: (word, idx, freq).  Counting is a partially aggregated groupBy, so a hot
     word is combined map-side; the rank runs per (freq, 2-character prefix) bucket."""
-    counts = (df.select(F.explode(F.col(tokens_col)).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    counts = (df.select(F.explode_outer(F.col(tokens_col)).alias("word"))
+              .where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
               .filter((F.col("freq") >= min_freq) & ~F.col("word").isin(list(specials))))
     ranked = two_level_rank(
         counts, order=[F.col("freq").desc(), F.col("word").asc()],

@@ -86,7 +86,7 @@ SELECT word, lemma FROM lemmap""")
 def lemmatize_words(spark, sf):
     docs = read_table(spark, sf, "documents")
     toks = docs.select(prep.clean_tokens(F.col("text")).alias("toks"))
-    words = toks.select(F.explode("toks").alias("word"))
+    words = toks.select(F.explode_outer("toks").alias("word"))
     return lemma_table(words, corpus_lexicon(toks, "toks"))
 
 
