@@ -82,9 +82,10 @@ def split_balance(spark, sf):
     """Minimum slice: labelled documents -> cleaned tokens -> stratified split ->
     per split and class: rows and mean cleaned words."""
     df = _labelled(spark, sf)
+    # words are counted before the split so the text never travels through its shuffles
+    df = df.select("doc_id", "label", F.size(prep.clean_tokens(F.col("text"))).alias("n_words"))
     s = split.stratified_split(df, "label", 0.2, "doc_id", SEED)
-    return (s.withColumn("n_words", F.size(prep.clean_tokens(F.col("text"))))
-            .groupBy("split", "label")
+    return (s.groupBy("split", "label")
             .agg(F.count(F.lit(1)).alias("n"), r6(F.avg("n_words"), 6).alias("mean_words")))
 
 
