@@ -112,7 +112,29 @@ def sample_n(spark, sf):
     return split.sample_n(d, 3, "doc_id", SEED)
 
 
-@query("nested_split", ops="R2 U3", sql=None)
+def _strat_ctes(src: str, frac: float, seed: int, p: str) -> str:
+    """Stratified hold-out over relation ``src(doc_id, label)``; result CTE ``{p}s``."""
+    md5 = q.md5key("doc_id", seed)
+    return f"""
+{p}c AS (SELECT label, count(*) AS c FROM {src} GROUP BY label),
+{p}a AS (SELECT label, c, sum(c) OVER () AS n FROM {p}c),
+{p}b AS (SELECT label, c, n, n - ceil({_d(frac)} * n) AS ntrain FROM {p}a),
+{p}q AS (SELECT label, c, ntrain, c * ntrain / n AS q, floor(c * ntrain / n) AS f FROM {p}b),
+{p}r AS (SELECT label, c, f, ntrain - sum(f) OVER () AS need,
+                row_number() OVER (ORDER BY q - f DESC, label) AS ord FROM {p}q),
+{p}al AS (SELECT label, c - (f + CASE WHEN ord <= need THEN 1 ELSE 0 END) AS ntest FROM {p}r),
+{p}rk AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {md5}, doc_id) AS crank FROM {src}),
+{p}s AS (SELECT {p}rk.doc_id, {p}rk.label, CASE WHEN crank <= ntest THEN 'test' ELSE 'train' END AS split
+         FROM {p}rk JOIN {p}al USING (label))"""
+
+
+@query("nested_split", ops="R2 U3", sql=f"""
+WITH d0 AS (SELECT doc_id, label FROM {LABELLED_SQL}),
+{_strat_ctes('d0', 0.1, SEED, 'x')},
+d1 AS (SELECT doc_id, label FROM xs WHERE split = 'train'),
+{_strat_ctes('d1', 0.15, SEED + 1, 'y')}
+SELECT doc_id, label, CASE WHEN split = 'test' THEN 'val' ELSE 'train' END AS split FROM ys
+UNION ALL SELECT doc_id, label, 'test' AS split FROM xs WHERE split = 'test'""")
 def nested_split(spark, sf):
     return split.nested_stratified_split(_labelled(spark, sf), "label", "doc_id").select("doc_id", "label", "split")
 
