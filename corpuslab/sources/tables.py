@@ -49,13 +49,21 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = True) -> DataFrame:
+# Text tables whose rows carry heavy per-row work (regexes, folds, tokenising).
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool | None = None) -> DataFrame:
     """Scan one Parquet table; the declared schema skips footer inference.
+    Text tables are spread over the session parallelism when their scan has
+    fewer splits (small lookup tables are left as they are, e.g. for broadcast).
     Filters and column pruning still reach the scan (they pass a repartition)."""
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     df = reader.parquet(table_path(sf_dir, name))
+    if parallel is None:
+        parallel = name in TEXT_TABLES
     return spread(df) if parallel else df
 
 
