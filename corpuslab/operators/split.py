@@ -152,3 +152,8 @@ def batch_counts(df: DataFrame, batch_size: int, epochs: int) -> DataFrame:
 
 def ceil_count(frac: float, n: int) -> int:
     return int(math.ceil(frac * n))
+
+
+def head(df: DataFrame, n: int, order=None) -> DataFrame:
+    """First ``n`` rows for display (by ``order`` when given: a top-k, no full sort)."""
+    return (df.orderBy(*order) if order is not None else df).limit(n)
