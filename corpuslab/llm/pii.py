@@ -7,7 +7,7 @@ lengths the code-point positions.
 
 The bootstrapping adds identifiers that no fixed pattern knows:
 
-1. Every run of identifier-like words (with digits) is a candidate instance; one
+1. Every run of identifier-like words (with a digit or @) is a candidate instance; one
    that contains a base entity is a seed.
 2. The words before a candidate (the last one, the last two) and a key inside
    its first word (``token=``) are its lexical patterns.  Patterns that precede
@@ -50,8 +50,8 @@ BASE = {
 KINDS = list(BASE)
 ADDED = "id"
 _BLANK = r"\x20\x09-\x0D"
-# A run of words with a digit, joined by single blanks.
-_WORD = rf"[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+"
+# A run of words with a digit or an at sign, joined by single blanks.
+_WORD = rf"[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
 CANDIDATE = rf"(?<![^{_BLANK}]){_WORD}(?:\x20{_WORD})*+"
 KEY = r"^[\"'(\[{<]*([A-Za-z][A-Za-z0-9_.-]*[=:])"
 CONTEXT_CHARS = 80
@@ -158,7 +158,8 @@ def candidates(text: Column) -> Column:
                         last.alias("word"), before.alias("before"), F.lower(key).alias("key"))
 
     found = F.transform(located(text, CANDIDATE), one)
-    return F.filter(found, lambda c: (F.char_length(F.regexp_replace(c["instance"], "[^0-9]+", "")) >= MIN_DIGITS)
+    return F.filter(found, lambda c: (F.contains(c["instance"], F.lit("@"))
+                                      | (F.char_length(F.regexp_replace(c["instance"], "[^0-9]+", "")) >= MIN_DIGITS))
                     & (F.char_length(F.regexp_replace(c["instance"], r"[^\p{L}\p{N}]+", "")) >= MIN_ALNUM))
 
 
