@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
+from ..session import cut_lineage
 
 
 @dataclass
@@ -72,6 +73,24 @@ def hash_rank(df: DataFrame, key_col: str, seed: int, partition_cols=(), rank_co
     return out.drop("_okey")
 
 
+def range_rank(df: DataFrame, order: list, rank_col: str = "rank", start: int = 1) -> DataFrame:
+    """Exact global positions in any sort order, whatever the keys look like.
+
+    Rows are range-partitioned by ``order`` once (sampled boundaries, so sparse,
+    skewed or prefixed keys still spread evenly) and materialised, so that the
+    partition of a row is fixed; the partitions are counted (one row each) and
+    rows are numbered inside their partition.  Ties must be broken in ``order``.
+    """
+    laid = cut_lineage(df.repartitionByRange(*order).withColumn("_rp", F.spark_partition_id()))
+    counts = laid.groupBy("_rp").agg(F.count(F.lit(1)).alias("_rn"))
+    before = Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offsets = counts.select("_rp", F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_ro"))
+    inside = Window.partitionBy("_rp").orderBy(*order)
+    return (laid.join(F.broadcast(offsets), "_rp")                              # bounded by the partition count
+            .withColumn(rank_col, (F.row_number().over(inside) + F.col("_ro") + F.lit(start - 1)).cast("long"))
+            .drop("_rp", "_ro"))
+
+
 def with_ordinal(df: DataFrame, key_col: str, seed: int, ordinal_col: str = "ordinal") -> DataFrame:
     """Dense 0-based position after a seeded shuffle; the old key stays a column."""
     return (hash_rank(df, key_col, seed, rank_col="_r")
@@ -85,9 +104,7 @@ def assign_batches(df: DataFrame, key_col: str, batch_size: int, seed: int | Non
     The last, short batch is kept.  Adds ``pos_in_batch`` (0-based) and ``rank``.
     """
     if seed is None:
-        ranked = two_level_rank(df, order=[F.col(key_col).asc()],
-                                buckets=[Bucket(F.floor(F.col(key_col) / F.lit(1 << 16)))],
-                                rank_col="rank")
+        ranked = range_rank(df, [F.col(key_col).asc()])
     else:
         ranked = hash_rank(df, key_col, seed, rank_col="rank")
     return (ranked

@@ -3,8 +3,10 @@ callbacks, each mapped onto Arrow-batched Spark primitives."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .wordmap import explode_tokens  # noqa: F401  (D6)
 
@@ -26,8 +28,27 @@ def map_text(col, fn, return_type="string"):
     return F.pandas_udf(fn, return_type)(col)
 
 
-def eval_with(df: DataFrame, fn, cols, return_type="double", group=None, name: str = "value") -> DataFrame:
-    """A metric callback as a grouped-aggregate pandas UDF (Series... -> scalar)."""
-    udaf = F.pandas_udf(fn, return_type)
-    agg = udaf(*[F.col(c) for c in cols]).alias(name)
-    return df.groupBy(*group).agg(agg) if group else df.agg(agg)
+def eval_with(df: DataFrame, fn, cols, partials, finish, group=(), name: str = "value") -> DataFrame:
+    """A metric callback over mergeable partials.
+
+    ``fn(Series...) -> DataFrame`` gets one Arrow batch of one group and returns
+    rows of the double columns ``partials``; those are summed by Spark (map-side
+    first), and ``finish`` is an expression over the sums.  No group is ever
+    gathered in one Python process.
+    """
+    group, cols = list(group), list(cols)
+
+    def work(batches):
+        for pdf in batches:
+            parts = pdf.groupby(group, dropna=False, sort=False) if group else [((), pdf)]
+            for key, part in parts:
+                out = fn(*[part[c] for c in cols])[list(partials)].astype("float64")
+                for k, g in zip(key if isinstance(key, tuple) else (key,), group):
+                    out[g] = pd.Series([k] * len(out), dtype=part[g].dtype)
+                yield out[[*group, *partials]]
+
+    schema = T.StructType([*[df.schema[g] for g in group], *[T.StructField(p, T.DoubleType()) for p in partials]])
+    sums = df.select(*group, *[c for c in cols if c not in group]).mapInPandas(work, schema)
+    agg = [F.sum(p).alias(p) for p in partials]
+    merged = sums.groupBy(*group).agg(*agg) if group else sums.agg(*agg)
+    return merged.select(*group, finish.alias(name))

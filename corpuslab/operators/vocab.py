@@ -2,7 +2,7 @@
 
 A vocabulary is a DataFrame (word, idx, freq): specials first (idx 0..k-1),
 then words by frequency descending and word ascending.  It is never collected:
-encoding and decoding are joins, ranking is two-level.
+encoding and decoding are joins, ranking is by range partitions.
 """
 
 from __future__ import annotations
@@ -12,20 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import normal_vector
-from .rank import Bucket, two_level_rank
+from .rank import range_rank
 from .wordmap import map_tokens
 
 
 def build_vocab(df: DataFrame, tokens_col: str, specials=("<unk>",), min_freq: int = 1) -> DataFrame:
     """A5: (word, idx, freq).  Counting is a partially aggregated groupBy, so a hot
-    word is combined map-side; the rank runs per (freq, 2-character prefix) bucket."""
+    word is combined map-side; ranks come from range partitions of (freq, word), so
+    the many words seen once are spread like all others."""
     counts = (df.select(F.explode_outer(F.col(tokens_col)).alias("word"))
               .where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
               .filter((F.col("freq") >= min_freq) & ~F.col("word").isin(list(specials))))
-    ranked = two_level_rank(
-        counts, order=[F.col("freq").desc(), F.col("word").asc()],
-        buckets=[Bucket(F.col("freq"), ascending=False), Bucket(F.substring(F.col("word"), 1, 2))],
-        rank_col="_r")
+    ranked = range_rank(counts, [F.col("freq").desc(), F.col("word").asc()], rank_col="_r")
     words = ranked.select("word", (F.col("_r") - 1 + len(specials)).cast("long").alias("idx"),
                           F.col("freq").cast("long"))
     spark = df.sparkSession
