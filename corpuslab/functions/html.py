@@ -6,9 +6,10 @@ Contract of ``extract_nodes`` (our pinned parsing rule, golden-tested):
    node boundary behind.
 2. The rest is split into tags and text runs.  A fold keeps a stack of open
    element names: a start tag pushes its lower-cased name, except void elements
-   and self-closed tags; a ``<p>`` start tag first closes an open ``<p>`` (and
-   everything opened inside it); an end tag pops up to its most recent match and
-   is ignored when nothing matches.
+   and self-closed tags; the start tag of a paragraph or other block
+   (``P_CLOSERS``) first closes an open ``<p>`` (and everything opened inside
+   it); an end tag pops up to its most recent match and is ignored when nothing
+   matches.
 3. A text run is kept when the element on top of the stack (its direct parent)
    is one of ``p``, ``em``, ``i``, ``b``; entities are decoded.
 
@@ -18,10 +19,15 @@ over the page table with no Python worker.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import let
+
 # The allow-list of parent elements and the default block-list terms.
 ALLOWED_PARENTS = ["p", "em", "i", "b"]
 BLOCKED_TERMS = ["Sign Up", "HuffPost", "Huffington"]
@@ -30,11 +36,20 @@ BLOCKED_TERMS = ["Sign Up", "HuffPost", "Huffington"]
 VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
                  "param", "source", "track", "wbr"]
 
-# Named entities decoded, as (entity, character); "&amp;" is decoded last.
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
+# Start tags that close an open ``<p>``.
+P_CLOSERS = ["address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset",
+             "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main",
+             "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"]
+
+# Named character references, from the standard library's table; the few that
+# make up nearly all references are looked up first.
+COMMON_ENTITIES = ["amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "rsquo", "lsquo", "rdquo", "ldquo", "mdash",
+                   "ndash", "hellip", "eacute"]
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+REFERENCE = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+# Code points 128-159 stand for the Windows-1252 characters, as in the HTML standard.
+C1_TEXT = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
+REPLACEMENT = "\ufffd"
 
 NOISE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 TOKEN = r"<[/!?a-zA-Z][^>]*>|[^<]+|<"
@@ -47,34 +62,38 @@ def _c(c) -> Column:
 
 
 def _codepoint_char(code: Column) -> Column:
-    """Character of a BMP code point, built through UTF-16 bytes."""
-    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-
-
-def _decode_numeric(s: Column, split_pat: str, capture_pat: str, base: int) -> Column:
-    """Replace numeric character references, piece by piece (split + fold)."""
-    pieces = F.split(s, split_pat)
-    codes = F.regexp_extract_all(s, F.lit(capture_pat), 1)
-    n = F.size(codes)
-
-    def as_int(x):
-        return x.cast("long") if base == 10 else F.conv(x, 16, 10).cast("long")
-
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.element_at(pieces, 1),
-        lambda acc, i: F.when(i <= n, F.concat(acc, _codepoint_char(as_int(F.element_at(codes, i))),
-                                               F.element_at(pieces, i + 1))).otherwise(acc))
-    return F.when(n > 0, folded).otherwise(s)
+    """Character of a code point (any plane); U+FFFD where there is none."""
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (F.when(~F.coalesce(valid, F.lit(False)), F.lit(REPLACEMENT))
+            .when(code.between(128, 159), F.substring(F.lit(C1_TEXT), (code - 127).cast("int"), F.lit(1))).otherwise(char))
+
+
+def _reference_text(ref: Column) -> Column:
+    """What a reference (without & and ;) stands for; an unknown name stays as it was."""
+    digits = F.regexp_replace(ref, "^#[xX]?0*", "")
+    # more digits than any code point has: no cast, no overflow, no character
+    decimal = F.when(F.length(digits).between(1, 7), digits.try_cast("long"))
+    hexa = F.when(F.length(digits).between(1, 6), F.conv(digits, 16, 10).try_cast("long"))
+    named = F.lit(None).cast("string")
+    for name in reversed(COMMON_ENTITIES):
+        named = F.when(ref == name, F.lit(ENTITIES[name])).otherwise(named)
+    table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    known = F.coalesce(named, F.try_element_at(table, ref), F.concat(F.lit("&"), ref, F.lit(";")))
+    return (F.when(ref.rlike("^#[xX]"), _codepoint_char(hexa)).when(ref.startswith("#"), _codepoint_char(decimal))
+            .otherwise(known))
 
 
 def decode_entities(c) -> Column:
-    """Numeric (decimal, hex; BMP) then named entities, ``&amp;`` last."""
+    """Character references decoded in one pass, so decoded text is not decoded
+    again; malformed and out-of-range references never fail a row."""
     s = _c(c)
-    s = _decode_numeric(s, "&#[0-9]+;", "&#([0-9]+);", 10)
-    s = _decode_numeric(s, "&#[xX][0-9a-fA-F]+;", "&#[xX]([0-9a-fA-F]+);", 16)
-    for ent, ch in NAMED_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return s
+
+    def decoded(refs: Column) -> Column:
+        return let(F.split(s, REFERENCE, -1), lambda gaps: F.array_join(F.concat(F.array(F.get(gaps, F.lit(0))), F.transform(
+            refs, lambda r, i: F.concat(_reference_text(r), F.get(gaps, i + 1)))), ""))
+
+    return F.when(F.contains(s, F.lit("&")), let(F.regexp_extract_all(s, F.lit(REFERENCE), 1), decoded)).otherwise(s)
 
 
 def _lit_array(values) -> Column:
@@ -90,7 +109,7 @@ def _pop_to(stack: Column, name: Column) -> Column:
 def extract_nodes(html) -> Column:
     """Array of kept text nodes (entity-decoded), in document order."""
     allowed = _lit_array(ALLOWED_PARENTS)
-    void = _lit_array(VOID_ELEMENTS)
+    void, closers = _lit_array(VOID_ELEMENTS), _lit_array(P_CLOSERS)
     clean = F.regexp_replace(_c(html), NOISE, "<!>")
     tokens = F.regexp_extract_all(clean, F.lit(TOKEN), 0)
     init = F.struct(F.array().cast(T.ArrayType(T.StringType())).alias("stack"),
@@ -108,9 +127,10 @@ def extract_nodes(html) -> Column:
         start_name = F.lower(F.regexp_extract(tok, START_NAME, 1))
         st = acc["stack"]
         after_end = F.when(F.array_contains(st, end_name), _pop_to(st, end_name)).otherwise(st)
-        base = F.when((start_name == "p") & F.array_contains(st, F.lit("p")), _pop_to(st, F.lit("p"))).otherwise(st)
+        closes = F.array_contains(closers, start_name) & F.array_contains(st, F.lit("p"))
+        base = F.when(closes, _pop_to(st, F.lit("p"))).otherwise(st)
         pushes = (F.length(start_name) > 0) & ~F.array_contains(void, start_name) & ~tok.endswith("/>")
-        after_start = F.when(pushes, F.concat(base, F.array(start_name))).otherwise(st)
+        after_start = F.when(pushes, F.concat(base, F.array(start_name))).otherwise(base)
         new_stack = (F.when(F.length(end_name) > 0, after_end)
                      .when(F.length(start_name) > 0, after_start)
                      .otherwise(st))

@@ -17,7 +17,17 @@ GOLDEN = [
     ("<div><p>in p <span>in span</span> after</p></div>", "in p   after"),
     ("<p>unclosed <em>em text</p> after p", "unclosed  em text"),
     ("", ""),
+    ("<p>one<div>in div</div>tail", "one"),
+    ("<p>a<table><tr><td>cell</td></tr></table><p>b", "a b"),
+    ("<p>a<hr>b</p>", "a"),
+    ("<p>&#99999999999999999999;|&#xFFFFFFFFFFFFFFFFFFFF;|&#55357;|&#0;</p>", "\ufffd|\ufffd|\ufffd|\ufffd"),
+    ("<p>&#128512; &#x1F600; &rsquo;&mdash;&eacute; &#38;lt; &amp;lt; &nosuch; &amp &#;</p>",
+     "\U0001f600 \U0001f600 \u2019\u2014\u00e9 &lt; &lt; &nosuch; &amp &#;"),
+    ("<p>&#150;&CounterClockwiseContourIntegral;</p>", "\u2013\u2233"),
 ]
+# The last cases hold references without a semicolon or name, which the standard
+# library decodes by older rules; they are checked against their goldens only.
+GOLDEN_ONLY = 3
 
 
 def _python_rule(doc: str) -> str:
@@ -41,7 +51,7 @@ def _python_rule(doc: str) -> str:
                     stack = stack[:len(stack) - 1 - stack[::-1].index(name)]
             elif start:
                 name = start.group(1).lower()
-                if name == "p" and "p" in stack:
+                if name in H.P_CLOSERS and "p" in stack:
                     stack = stack[:len(stack) - 1 - stack[::-1].index("p")]
                 if name not in H.VOID_ELEMENTS and not tok.endswith("/>"):
                     stack.append(name)
@@ -61,7 +71,7 @@ def test_golden_cases(spark):
 
 
 def test_golden_cases_match_python_rule():
-    for h, want in GOLDEN:
+    for h, want in GOLDEN[:-GOLDEN_ONLY]:
         assert _python_rule(h) == want
 
 

@@ -37,6 +37,60 @@ def test_csv_with_index(spark):
     assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
 
 
+HARD = [(1, 'quote " and "" \\" end', 1.5), (2, "line\nbreak\r\nand\rmore", None), (3, "", 2.0), (4, None, 0.0),
+        (5, "  outer blanks\t", -1.0), (6, "comma, semi; 'x'", 3.0), (7, "\\", 4.0), (8, '"', 5.0), (9, "a\n\n", 6.0),
+        (1 << 62, "sparse key é 😀", 7.0), (-5, "negative", 8.0)]
+HARD_SCHEMA = "doc_id long, text string, x double"
+
+
+def _same(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: r[0])
+
+
+def test_csv_keeps_text(spark):
+    from pyspark.sql import types as T
+    df = spark.createDataFrame(HARD, HARD_SCHEMA)
+    p = fl.write_csv(df, os.path.join(tempfile.mkdtemp(prefix="corpuslab-io-"), "csv"), index_key="doc_id")
+    schema = T.StructType([T.StructField("index", T.LongType()), *df.schema.fields])
+    back = fl.read_csv(spark, p, schema)
+    assert _same(back.drop("index")) == sorted(HARD)
+    assert [r["doc_id"] for r in back.orderBy("index").collect()] == sorted(r[0] for r in HARD)
+
+
+def test_json_columns_keep_text_and_nulls(spark):
+    df = spark.createDataFrame(HARD, HARD_SCHEMA)
+    p = fl.write_json_columns(df, os.path.join(tempfile.mkdtemp(prefix="corpuslab-io-"), "cols"), "doc_id", rows_per_object=3)
+    assert _same(fl.read_json_columns(spark, p, df.schema).drop("row_id")) == sorted(HARD)
+
+
+def test_json_columns_indented_and_broken(spark):
+    import json
+
+    import pytest
+    base = tempfile.mkdtemp(prefix="corpuslab-io-")
+    schema = _labels(spark).schema
+    with open(os.path.join(base, "a.json"), "w") as f:
+        json.dump({"doc_id": {"0": 7, "1": 8}, "quality": {"0": 1, "1": None}, "toxic": {"0": 0, "1": 1}}, f, indent=2)
+    assert _rows(fl.read_json_columns(spark, base, schema).fillna(-1)) == [(7, 1, 0), (8, -1, 1)]
+    with open(os.path.join(base, "b.json"), "w") as f:
+        f.write("{ not json")
+    with pytest.raises(Exception):
+        fl.read_json_columns(spark, base, schema).collect()
+
+
+def test_range_rank_on_sparse_and_skewed_keys(spark):
+    import random
+
+    from corpuslab.operators.rank import range_rank
+    rng = random.Random(1)
+    rows = [(rng.randrange(-2**62, 2**62), "th" + str(i) if i % 10 else "zz") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, w string")
+    got = [r["rank"] for r in range_rank(df, [F.col("k").asc()]).orderBy("k").collect()]
+    assert got == list(range(1, len(rows) + 1))
+    got = range_rank(df, [F.col("w").asc(), F.col("k").asc()], start=0).orderBy("w", "k").collect()
+    assert [r["rank"] for r in got] == list(range(len(rows)))
+
+
 def test_word_vectors_last_wins(spark):
     base = tempfile.mkdtemp(prefix="corpuslab-io-")
     path = os.path.join(base, "vec.txt")
