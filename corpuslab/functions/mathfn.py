@@ -73,8 +73,8 @@ def cross_entropy(scores, label) -> Column:
 
 
 def scaled(c, factor: float = 1.0, digits: int = 4) -> Column:
-    """M5: round(factor * x, digits) (nudged like every reported figure)."""
-    return F.round(F.lit(factor) * _c(c) + F.lit(1e-10), digits)
+    """M5: round(factor * x, digits)."""
+    return F.round(F.lit(factor) * _c(c), digits)
 
 
 def argmax(v) -> Column:

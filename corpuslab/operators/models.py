@@ -120,12 +120,14 @@ def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def run(train: DataFrame, test: DataFrame, model_path: str | None = None, text: str = "text",
-        label: str = "label"):
-    """With a saved model path, load and score; otherwise fit TF-IDF + LR on
-    ``train`` (and save it when a path is given) -> scored ``test``."""
-    import os
-    if model_path and os.path.exists(model_path):
+def run(train: DataFrame | None, test: DataFrame, model_path: str | None = None, text: str = "text",
+        label: str = "label", load: bool = False):
+    """With ``load`` the saved model is loaded from ``model_path`` (any file
+    system Spark reads; it fails if nothing is there) and scored; otherwise
+    TF-IDF + LR are fitted on ``train`` and saved when a path is given."""
+    if load:
+        if not model_path:
+            raise ValueError("load needs a model_path")
         pm = load_pipeline(model_path)
     else:
         feats = fit_tfidf(train, text)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from .rank import Bucket, hash_rank, two_level_rank
+from .rank import Bucket, hash_rank, range_rank, two_level_rank
 
 
 def _count(df: DataFrame) -> Column:
@@ -154,6 +154,12 @@ def ceil_count(frac: float, n: int) -> int:
     return int(math.ceil(frac * n))
 
 
-def head(df: DataFrame, n: int, order=None) -> DataFrame:
-    """First ``n`` rows for display (by ``order`` when given: a top-k, no full sort)."""
-    return (df.orderBy(*order) if order is not None else df).limit(n)
+def head(df: DataFrame, n: int, order) -> DataFrame:
+    """First ``n`` rows by ``order`` for display (a top-k, no full sort)."""
+    return df.orderBy(*order).limit(n)
+
+
+def row_slice(df: DataFrame, lo: int, hi: int, order: list) -> DataFrame:
+    """Rows at positions [lo, hi) of ``order`` (0-based), with their ``position``."""
+    return range_rank(df, order, rank_col="position", start=0).filter(
+        (F.col("position") >= F.lit(lo)) & (F.col("position") < F.lit(hi)))

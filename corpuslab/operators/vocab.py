@@ -7,7 +7,7 @@ encoding and decoding are joins, ranking is by range partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,17 @@ def encode_sequence(ids, max_len: int, pad: int = 0) -> Column:
     return F.struct(padded.alias("input_ids"), mask.alias("attention_mask"))
 
 
+def pad_batches(df: DataFrame, ids_col: str = "ids", batch_col: str = "batch_id", pad: int = 0) -> DataFrame:
+    """Dynamic padding - every row's ids padded to the longest of its batch;
+    adds input_ids, attention_mask and batch_len (batches are bounded by their size)."""
+    n = F.max(F.size(ids_col)).over(Window.partitionBy(batch_col))
+    d = df.withColumn("batch_len", n)
+    left = F.col("batch_len") - F.size(ids_col)
+    return (d.withColumn("input_ids", F.concat(F.col(ids_col), F.array_repeat(F.lit(pad).cast("long"), left)))
+            .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids_col)), F.array_repeat(F.lit(0), left)))
+            .withColumn("batch_len", F.col("batch_len").cast("long")))
+
+
 def mask_labels(labels, pad: int = 0, ignore: int = -100) -> Column:
     """Pad id -> ignore index."""
     c = F.col(labels) if isinstance(labels, str) else labels

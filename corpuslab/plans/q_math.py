@@ -1,7 +1,7 @@
 """Queries for the math scalar functions over class-score arrays.
 
-The ``embeddings`` table stands in for model outputs: its first ten components
-are class scores and ``label`` (0-9) the true class.
+The ``embeddings`` table stands in for text vectors: a linear head over all 64
+components gives the ten class scores, ``label`` (0-9) is the true class.
 """
 
 from __future__ import annotations
@@ -14,19 +14,24 @@ from ..operators import rank
 from ..sources.tables import read_table
 from .registry import query
 
-K = 10
 W = mf.rule_weights(2, 64)
 B = [0.1, -0.1]
+W10 = mf.rule_weights(10, 64)
+B10 = [0.05 * k for k in range(10)]
 
+_HEAD = ", ".join("list_inner_product(x, [" + ", ".join(repr(float(c)) for c in row) + f"]) + {b!r}" for row, b in zip(W10, B10))
 SCORES_SQL = f"""
-s AS (SELECT vec_id, label, list_transform(embedding[1:{K}], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+xs AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+s AS (SELECT vec_id, label, list_transform([{_HEAD}], lambda x: round(x, 9)) AS v FROM xs),
 m AS (SELECT vec_id, label, v, list_max(v) AS mx FROM s),
 z AS (SELECT vec_id, label, v, mx, list_sum(list_transform(v, lambda x: exp(x - mx))) AS z FROM m)"""
 
 
 def _scores(spark, sf):
     e = read_table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", mf.as_double_array(F.slice("embedding", 1, K)).alias("v"))
+    logits = mf.linear_head(mf.as_double_array("embedding"), W10, B10)
+    # rounded at 9 digits so that ties between classes do not hang on the order of a sum
+    return e.select("vec_id", "label", F.transform(logits, lambda x: F.round(x, 9)).alias("v"))
 
 
 @query("softmax_scores", ops="M1 M5", sql=f"""
@@ -34,14 +39,14 @@ WITH {SCORES_SQL}
 SELECT vec_id, label, round(1e-10 + exp(v[label + 1] - mx) / z, 6) AS p_label,
        round(1e-10 + list_max(list_transform(v, lambda x: exp(x - mx) / z)), 6) AS p_max,
        round(1e-10 + (v[label + 1] - mx - ln(z)), 6) AS logp_label,
-       round(100 * (exp(v[label + 1] - mx) / z) + 1e-10, 4) AS pct_label FROM z""")
+       round(100 * round(1e-10 + exp(v[label + 1] - mx) / z, 6), 4) AS pct_label FROM z""")
 def softmax_scores(spark, sf):
     s = _scores(spark, sf)
     sm = mf.softmax(F.col("v"))
     p = F.element_at(sm, F.col("label") + 1)
     return s.select("vec_id", "label", r6(p).alias("p_label"), r6(F.array_max(sm)).alias("p_max"),
                     r6(F.element_at(mf.log_softmax(F.col("v")), F.col("label") + 1)).alias("logp_label"),
-                    mf.scaled(p, 100.0, 4).alias("pct_label"))
+                    mf.scaled(r6(p), 100.0, 4).alias("pct_label"))
 
 
 @query("argmax_class", ops="R10", sql=f"""

@@ -9,6 +9,7 @@ from ..functions.numeric import r6
 
 from ..functions import text as tx
 from ..operators import prep, rank, split
+from ..operators import vocab as vb
 from ..sources.tables import read_table
 from . import sqlfrag as q
 from .registry import query
@@ -171,14 +172,22 @@ def batch_offsets(spark, sf):
     return rank.batch_offsets(_batched(spark, sf), "n_tokens").select("doc_id", "batch_id", "n_tokens", "offset")
 
 
-@query("pad_batch", ops="T19", sql=f"""
-WITH {BATCHED_SQL}
-SELECT doc_id, batch_id, n_tokens, max(n_tokens) OVER (PARTITION BY batch_id) AS batch_len,
-       max(n_tokens) OVER (PARTITION BY batch_id) - n_tokens AS n_pad FROM b""")
+@query("pad_batch", ops="T19 J2 W6", sql=f"""
+WITH {BATCHED_SQL},
+ids AS (SELECT b.doc_id, batch_id, n_tokens, list_transform({TOKS}, lambda w: CAST(length(w) AS BIGINT)) AS ids FROM b JOIN documents d ON d.doc_id = b.doc_id),
+m AS (SELECT *, max(n_tokens) OVER (PARTITION BY batch_id) AS batch_len FROM ids)
+SELECT doc_id, batch_id, n_tokens, batch_len,
+       array_to_string(list_concat(ids, list_transform(range(batch_len - n_tokens), lambda x: 0)), ',') AS input_ids,
+       array_to_string(list_concat(list_transform(range(n_tokens), lambda x: 1), list_transform(range(batch_len - n_tokens), lambda x: 0)), ',') AS attention_mask
+FROM m""")
 def pad_batch(spark, sf):
-    b = _batched(spark, sf)
-    bl = F.max("n_tokens").over(Window.partitionBy("batch_id"))
-    return b.select("doc_id", "batch_id", "n_tokens", bl.alias("batch_len"), (bl - F.col("n_tokens")).alias("n_pad"))
+    """Ids (here the token lengths) padded to the longest row of their batch, with the mask."""
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", F.transform(tx.basic_english(F.col("text")), lambda w: F.char_length(w).cast("long")).alias("ids"))
+    p = vb.pad_batches(rank.assign_batches(d, "doc_id", BATCH, SEED))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return p.select("doc_id", "batch_id", F.size("ids").cast("long").alias("n_tokens"), "batch_len", text("input_ids"),
+                    text("attention_mask"))
 
 
 @query("batch_counts", ops="A19", sql=f"""
@@ -187,3 +196,48 @@ SELECT count(*) AS rows, CAST(ceil(count(*) / 16) AS BIGINT) AS batches,
 FROM {LONG_DOCS_SQL}""")
 def batch_counts(spark, sf):
     return split.batch_counts(_long_docs(spark, sf), 16, 10)
+
+
+@query("row_slice", ops="P11 P2", sql="""
+SELECT doc_id, source, position FROM (SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS position FROM documents)
+WHERE position >= (SELECT count(*) FROM documents) // 4 AND position < (SELECT count(*) FROM documents) // 2""")
+def row_slice(spark, sf):
+    """The second quarter of the documents in (source, doc_id) order."""
+    d = prep.drop_columns(read_table(spark, sf, "documents"), ["text", "lang", "n_chars"])
+    n = d.count()
+    return split.row_slice(d, n // 4, n // 2, [F.col("source").asc(), F.col("doc_id").asc()])
+
+
+@query("keep_constant_complement", ops="P2 P6 U2", sql="""
+SELECT doc_id, lang, 'short' AS kind FROM documents WHERE NOT coalesce(n_chars > 1000, false)""")
+def keep_constant_complement(spark, sf):
+    d = split.complement(read_table(spark, sf, "documents"), F.col("n_chars") > 1000)
+    return prep.with_constant(prep.keep_columns(d, ["doc_id", "lang"]), "kind", "short")
+
+
+@query("point_lookup", ops="P12 J6", sql="""
+SELECT d.doc_id, d.text AS pair_text, l.quality AS pair_label FROM documents d JOIN labels l USING (doc_id)
+WHERE d.doc_id = (SELECT min(doc_id) FROM labels)""")
+def point_lookup(spark, sf):
+    """One labelled row by its key, as a (text, label) pair."""
+    labels = read_table(spark, sf, "labels")
+    key = labels.agg(F.min("doc_id")).first()[0]
+    one = prep.labelled(prep.row_at(read_table(spark, sf, "documents"), "doc_id", key), labels)
+    return one.select("doc_id", prep.zip_pairs(one).alias("p")).select(
+        "doc_id", F.col("p.text").alias("pair_text"), F.col("p.label").alias("pair_label"))
+
+
+@query("longest_documents", ops="R8", sql="""
+SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10""")
+def longest_documents(spark, sf):
+    """A top-k report: the ten longest documents."""
+    return split.head(read_table(spark, sf, "documents").select("doc_id", "n_chars"), 10,
+                      [F.col("n_chars").desc(), F.col("doc_id").asc()])
+
+
+@query("split_overlap", ops="U3", sql="""
+SELECT lang AS key, count(DISTINCT source) AS n_splits FROM documents GROUP BY lang HAVING count(DISTINCT source) > 1""")
+def split_overlap(spark, sf):
+    """Languages that sit in more than one source."""
+    d = read_table(spark, sf, "documents").select(F.col("lang").alias("key"), "source")
+    return split.overlapping_keys(d, "key", "source")

@@ -60,8 +60,8 @@ def length_histogram(spark, sf):
 def _title_sql(col: str) -> str:
     raw = f"regexp_extract({col}, '(?is)<title[^>]*>(.*?)</title', 1)"
     dec = raw
-    for ent, ch in H.NAMED_ENTITIES:
-        dec = f"replace({dec}, {q.lit(ent)}, {q.lit(ch)})"
+    for name in [n for n in H.COMMON_ENTITIES if n != "amp"] + ["amp"]:
+        dec = f"replace({dec}, {q.lit('&' + name + ';')}, {q.lit(H.ENTITIES[name])})"
     return q.strip(dec)
 
 
@@ -186,7 +186,7 @@ def rouge_corpus_n(spark, sf):
     return c.select("pairs", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"))
 
 
-BOOT = 200
+BOOT = 1000
 
 
 def _poisson_case(u: str) -> str:

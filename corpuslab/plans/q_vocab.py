@@ -15,7 +15,6 @@ from . import sqlfrag as q
 from .registry import query
 
 DIM = 64
-MAX_LEN = 32
 
 
 def _tokens(spark, sf):
@@ -64,10 +63,11 @@ def encode_ids(spark, sf):
 SEQ_SQL = f"""
 WITH {vocab_ctes(('<pad>', '<unk>'))},
 lst AS (SELECT ex.doc_id, list(coalesce(v.idx, 1) ORDER BY ex.pos) AS ids FROM ex LEFT JOIN vocab v USING (word) GROUP BY ex.doc_id),
-ids AS (SELECT toks.doc_id, list_slice(coalesce(lst.ids, []), 1, {MAX_LEN}) AS cut FROM toks LEFT JOIN lst USING (doc_id)),
+ml AS (SELECT max(len(t)) AS max_len FROM toks),
+ids AS (SELECT toks.doc_id, list_slice(coalesce(lst.ids, []), 1, max_len) AS cut, max_len FROM toks LEFT JOIN lst USING (doc_id), ml),
 seq AS (SELECT doc_id, len(cut) AS n_real,
-               list_concat(cut, list_transform(range({MAX_LEN} - len(cut)), lambda x: 0)) AS input_ids,
-               list_concat(list_transform(range(len(cut)), lambda x: 1), list_transform(range({MAX_LEN} - len(cut)), lambda x: 0)) AS attention_mask
+               list_concat(cut, list_transform(range(max_len - len(cut)), lambda x: 0)) AS input_ids,
+               list_concat(list_transform(range(len(cut)), lambda x: 1), list_transform(range(max_len - len(cut)), lambda x: 0)) AS attention_mask
         FROM ids)"""
 
 
@@ -75,8 +75,10 @@ def _seq(spark, sf):
     t = _tokens(spark, sf)
     voc = vb.build_vocab(t, "t", specials=("<pad>", "<unk>"))
     enc = vb.encode_ids(t, ["doc_id"], "t", voc, unk_idx=1)
-    s = enc.select("doc_id", vb.encode_sequence(F.col("ids"), MAX_LEN, pad=0).alias("s"),
-                   F.least(F.size("ids"), F.lit(MAX_LEN)).cast("long").alias("n_real"))
+    # A3: the longest text sets the length, as in the source
+    max_len = t.agg(F.max(F.size("t"))).first()[0] or 0
+    s = enc.select("doc_id", vb.encode_sequence(F.col("ids"), max_len, pad=0).alias("s"),
+                   F.size("ids").cast("long").alias("n_real"))
     return s, voc
 
 
@@ -97,7 +99,7 @@ def mask_labels(spark, sf):
 
 @query("decode_ids", ops="T21 T20", sql=f"""
 WITH toks AS (SELECT doc_id, {q.basic_english('text')} AS t FROM documents)
-SELECT doc_id, array_to_string(list_slice(t, 1, {MAX_LEN}), ' ') AS decoded FROM toks""")
+SELECT doc_id, array_to_string(t, ' ') AS decoded FROM toks""")
 def decode_ids(spark, sf):
     s, voc = _seq(spark, sf)
     lab = s.select("doc_id", vb.unmask_labels(vb.mask_labels(F.col("s.input_ids"))).alias("ids"))
@@ -201,3 +203,22 @@ def tfidf_weights(spark, sf):
     t = _tfidf_tokens(spark, sf)
     w = fe.tfidf_long(t, "doc_id", "t", fe.fit_idf(t, "t"))
     return w.select("doc_id", "term", "tf", r6("weight", 6).alias("weight"))
+
+
+@query("encode_unseen", ops="A5 J2 T21", sql=f"""
+WITH toks AS (SELECT doc_id, {q.basic_english('text')} AS t FROM documents),
+ex AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM toks),
+vc AS (SELECT word, count(*) AS freq FROM ex WHERE doc_id % 5 <> 0 AND word <> '<unk>' GROUP BY word),
+vocab AS (SELECT word, row_number() OVER (ORDER BY freq DESC, word) AS idx FROM vc)
+SELECT t.doc_id, CAST(len(t.t) AS BIGINT) AS n_tokens, count(ex.word) FILTER (v.idx IS NULL) AS n_unknown,
+       CAST(coalesce(sum(v.idx), 0) AS BIGINT) AS id_sum
+FROM toks t LEFT JOIN ex USING (doc_id) LEFT JOIN vocab v ON v.word = ex.word GROUP BY t.doc_id, t.t""")
+def encode_unseen(spark, sf):
+    """The vocabulary comes from the training side (four of five documents); all
+    documents are encoded with it, so unknown words occur."""
+    t = _tokens(spark, sf)
+    voc = vb.build_vocab(t.filter(F.col("doc_id") % 5 != 0), "t")
+    enc = vb.encode_ids(t, ["doc_id"], "t", voc)
+    return enc.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.size(F.filter("ids", lambda i: i == 0)).cast("long").alias("n_unknown"),
+                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, i: a + i).alias("id_sum"))

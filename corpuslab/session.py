@@ -36,12 +36,12 @@ def get_spark(app: str = "corpuslab", master: str | None = None,
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false")
-    for k, v in DEFAULT_CONF.items():
+    active = SparkSession.getActiveSession()
+    defaults = DEFAULT_CONF if active is None else {}          # a running session keeps its own settings
+    for k, v in {**defaults, **(extra or {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
-        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
     return spark

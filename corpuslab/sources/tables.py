@@ -38,33 +38,23 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Give a scan at least ``target`` partitions (default: the session's
-    parallelism).  A table stored as one Parquet row group is read by a single
-    task; text work on it would then run on one core.  Large tables already
-    arrive in many splits and are left untouched (no extra shuffle)."""
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
+# Setting a user may give for tables whose files hold few row groups (a row group
+# is the least a task can read): scans are then repartitioned to that number.
+INPUT_PARTITIONS = "spark.corpuslab.inputPartitions"
 # Text tables whose rows carry heavy per-row work (regexes, folds, tokenising).
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, parallel: bool | None = None) -> DataFrame:
-    """Scan one Parquet table; the declared schema skips footer inference.
-    Text tables are spread over the session parallelism when their scan has
-    fewer splits (small lookup tables are left as they are, e.g. for broadcast).
-    Filters and column pruning still reach the scan (they pass a repartition)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one Parquet table; the declared schema skips footer inference.  The
+    plan is the scan alone, filters and column pruning reach it.  Only where the
+    user set ``spark.corpuslab.inputPartitions`` are text tables repartitioned."""
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     df = reader.parquet(table_path(sf_dir, name))
-    if parallel is None:
-        parallel = name in TEXT_TABLES
-    return spread(df) if parallel else df
+    wanted = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted and name in TEXT_TABLES else df
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
