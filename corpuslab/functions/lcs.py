@@ -2,8 +2,8 @@
 
 Small per-row helpers run inside Arrow-batched pandas UDFs; Spark partitions
 the pairs.  ``lcs_length`` is the bit-parallel formulation (one big-integer
-update per token of the second sequence), ``lcs_positions`` the classic table
-with the backtrack used by summary-level LCS.
+update per token of the second sequence); ``lcs_positions`` keeps those bit rows
+(m x n bits) and backtracks on them, as summary-level LCS needs.
 """
 
 from __future__ import annotations
@@ -40,25 +40,30 @@ def lcs_positions(ref, can) -> list:
     """Positions in ``ref`` of one LCS with ``can`` (backtrack prefers moving in
     ``can`` when the table ties, i.e. the last-match path)."""
     m, n = len(ref), len(can)
-    t = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        ri = ref[i - 1]
-        row, prev = t[i], t[i - 1]
-        for j in range(1, n + 1):
-            if ri == can[j - 1]:
-                row[j] = prev[j - 1] + 1
-            else:
-                row[j] = row[j - 1] if row[j - 1] > prev[j] else prev[j]
+    masks = {}
+    for j, x in enumerate(can):
+        masks[x] = masks.get(x, 0) | (1 << j)
+    full = (1 << n) - 1
+    rises, v = [0], full                    # bit j of rises[i]: the table rises from column j to j + 1 in row i
+    for x in ref:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        rises.append(v ^ full)
     i, j, out = m, n, []
+    here = rises[m].bit_count()             # table value at (i, j)
     while i > 0 and j > 0:
         if ref[i - 1] == can[j - 1]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif t[i][j - 1] > t[i - 1][j]:
-            j -= 1
+            here -= 1
+            continue
+        left = here - (rises[i] >> (j - 1) & 1)
+        above = (rises[i - 1] & ((1 << j) - 1)).bit_count()
+        if left > above:
+            j, here = j - 1, left
         else:
-            i -= 1
+            i, here = i - 1, above
     out.reverse()
     return out
 

@@ -135,6 +135,11 @@ def sentences(c) -> Column:
     return F.filter(F.split(marked, SENTENCE_BREAK), lambda s: F.length(s) > 0)
 
 
+def newline_sentences(c) -> Column:
+    """Strip, split into sentences, join them by newlines (what ROUGE-Lsum reads)."""
+    return F.array_join(sentences(c), "\n")
+
+
 def lead_sentence(c) -> Column:
     """First sentence (up to the first terminator followed by space or end);
     the whole stripped text when there is no terminator."""

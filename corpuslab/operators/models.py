@@ -1,8 +1,9 @@
 """Text classifiers on Spark ML.
 
 Every model is a ``pyspark.ml`` estimator trained where the data lives; the
-only driver-side state is what Spark ML itself keeps (coefficients, a
-vocabulary bounded by ``vocab_size``, per-iteration losses).
+only driver-side state is what Spark ML itself keeps (the vocabulary and
+coefficients, as long as the distinct training terms; the trees of a forest,
+which grow with depth; per-iteration losses).
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer,
+                                RegexTokenizer)
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -25,17 +27,23 @@ from . import metrics as me
 JAVA_TFIDF_TOKEN = TFIDF_TOKEN
 
 
-def fit_tfidf(train: DataFrame, text: str = "text", vocab_size: int = 1 << 18, min_df: float = 1.0,
-              out_col: str = "features") -> PipelineModel:
+ALL_TERMS = (1 << 31) - 1
+
+
+def fit_tfidf(train: DataFrame, text: str = "text", min_df: float = 1.0, out_col: str = "features",
+              slots: int | None = None) -> PipelineModel:
     """Tokens -> counts -> x (ln((1+N)/(1+df)) + 1) -> L2 rows, fitted on ``train``.
 
     Spark's IDF is ln((1+N)/(1+df)); the smooth-idf '+1' is added by scaling the
-    counts with (idf + 1).  The vocabulary is capped at ``vocab_size`` terms, the
-    only driver-side state.
+    counts with (idf + 1).  Every term is kept: the vocabulary, like the fitted
+    coefficients, is as long as the number of distinct training terms.  With
+    ``slots`` the terms are folded into that many hashed columns instead (their
+    counts add up, none is dropped), for models with a fixed input width.
     """
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=JAVA_TFIDF_TOKEN, gaps=False,
                          toLowercase=True, minTokenLength=1)
-    cv = CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=vocab_size, minDF=min_df)
+    cv = (HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=slots) if slots else
+          CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=ALL_TERMS, minDF=min_df))
     fitted = Pipeline(stages=[tok, cv]).fit(train)
     idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(fitted.transform(train))
     scale = idf.idf.toArray() + 1.0

@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as tx
 from ..functions.hashing import let, uniform
 from ..functions.lcs import lcs_length, summary_lcs_scores
+from ..functions.stem import porter_stem
+from .wordmap import map_tokens
 
 TOKEN = "[a-z0-9]+"
 
@@ -104,17 +107,38 @@ def rouge_lsum(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "ref
 
 
 def rouge_all(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "reference") -> DataFrame:
-    """E1-E4 F-measures per pair, one row per pair."""
+    """E1-E4 F-measures per pair, one row per pair; Lsum reads T12 sentences."""
     keys = list(keys)
+    lines = pairs.select(*keys, tx.newline_sentences(F.col(pred)).alias(pred), tx.newline_sentences(F.col(ref)).alias(ref))
     r1 = rouge_n(pairs, keys, pred, ref, 1).select(*keys, "rouge1_fmeasure")
     r2 = rouge_n(pairs, keys, pred, ref, 2).select(*keys, "rouge2_fmeasure")
     rl = rouge_l(pairs, keys, pred, ref).select(*keys, "rougeL_fmeasure")
-    rs = rouge_lsum(pairs, keys, pred, ref).select(*keys, "rougeLsum_fmeasure")
+    rs = rouge_lsum(lines, keys, pred, ref).select(*keys, "rougeLsum_fmeasure")
     return r1.join(r2, keys).join(rl, keys).join(rs, keys).select(
         *keys, F.col("rouge1_fmeasure").alias("rouge1"), F.col("rouge2_fmeasure").alias("rouge2"),
         F.col("rougeL_fmeasure").alias("rougeL"), F.col("rougeLsum_fmeasure").alias("rougeLsum"))
 
 
+def stem_words(df: DataFrame, key_cols, col: str) -> DataFrame:
+    """E5: a text's ROUGE tokens replaced by their Porter stems, joined by blanks.
+    Every distinct word is stemmed once; only words that change are mapped back."""
+    toks = df.select(*key_cols, rouge_tokens(col).alias("_rt"))
+    words = toks.select(F.explode_outer("_rt").alias("word")).where(F.length("word") > 3).distinct()
+    stems = words.select("word", _stem_udf("word").alias("stem")).where(F.col("stem") != F.col("word"))
+    return map_tokens(toks, list(key_cols), "_rt", stems, "word", "stem", "_st").select(
+        *key_cols, F.array_join("_st", " ").alias(col))
+
+
+@F.pandas_udf(T.StringType())
+def _stem_udf(words: pd.Series) -> pd.Series:
+    return words.map(porter_stem)
+
+
+def stemmed_pairs(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "reference") -> DataFrame:
+    """E5: both sides stemmed; every ROUGE operator takes the result."""
+    return stem_words(pairs, keys, pred).join(stem_words(pairs, keys, ref), list(keys))
+
+
 def rouge_corpus(scores: DataFrame, cols=("rouge1", "rouge2", "rougeL", "rougeLsum")) -> DataFrame:
     """Mean F over pairs (partial + final aggregation)."""
     return scores.agg(F.count(F.lit(1)).alias("pairs"), *[F.avg(c).alias(c) for c in cols])

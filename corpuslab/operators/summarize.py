@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -33,6 +33,30 @@ def lead_summary(body, max_words: int | None = None):
     return F.array_join(F.slice(tx.words(lead), 1, max_words), " ")
 
 
+def extractive_summary(df: DataFrame, key: str, body: str = "body", min_words: int = 10, max_words: int | None = None,
+                       out_col: str = "summary") -> DataFrame:
+    """L9 (extractive method): sentences whose words are frequent in their article.
+
+    A sentence scores the mean count, over the article, of its lower-case
+    [a-z0-9]+ words; sentences are taken by score (ties: earlier first) until at
+    least ``min_words`` words are taken, put back in order and cut to
+    ``max_words``.  All windows are inside one article.  Articles without a
+    sentence of such words get the empty summary.
+    """
+    sents = df.select(key, F.posexplode_outer(tx.sentences(F.col(body))).alias("_pos", "_s"))
+    words = sents.select(key, "_pos", F.explode_outer(rg.rouge_tokens("_s")).alias("_w")).where(F.col("_w").isNotNull())
+    count = F.count(F.lit(1)).over(Window.partitionBy(key, "_w"))
+    scored = words.withColumn("_n", count).groupBy(key, "_pos").agg(F.avg("_n").alias("_score"))
+    sized = sents.join(scored, [key, "_pos"]).withColumn("_len", tx.word_count(F.col("_s")))
+    by_score = Window.partitionBy(key).orderBy(F.col("_score").desc(), F.col("_pos"))
+    before = F.coalesce(F.sum("_len").over(by_score.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = sized.withColumn("_before", before).where(F.col("_before") < min_words)
+    text = taken.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_s"))),
+                                                           lambda x: x["_s"]), " ").alias("_t"))
+    cut = F.col("_t") if max_words is None else F.array_join(F.slice(tx.words(F.col("_t")), 1, max_words), " ")
+    return df.select(key).join(text, key, "left").select(key, F.coalesce(cut, F.lit("")).alias(out_col))
+
+
 def summarize(df: DataFrame, body: str = "body", headline: str = "headline", key: str = "page_id",
               max_words: int | None = None) -> DataFrame:
     """One summary per article -> (key, Body, Headline, Summary)."""

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import DESCRIPTIONS, ORACLE, QUERIES
 
-_MODULES = ["q_prep", "q_split", "q_vocab", "q_metrics", "q_text", "q_math", "q_models", "q_explain", "q_io"]
+_MODULES = ["q_prep", "q_split", "q_vocab", "q_metrics", "q_text", "q_math", "q_models", "q_explain", "q_io", "q_jobs"]
 
 
 def load_all():

@@ -161,7 +161,9 @@ def rouge_l(spark, sf):
 
 @query("rouge_lsum", ops="E4", sql=None)
 def rouge_lsum(spark, sf):
-    r = rg.rouge_lsum(conversation_pairs(spark, sf), ["conv_id", "turn"])
+    p = conversation_pairs(spark, sf)
+    lines = p.select("conv_id", "turn", *[tx.newline_sentences(F.col(c)).alias(c) for c in ("prediction", "reference")])
+    r = rg.rouge_lsum(lines, ["conv_id", "turn"])
     return r.select("conv_id", "turn", *[r6(c).alias(c) for c in
                                          ["rougeLsum_precision", "rougeLsum_recall", "rougeLsum_fmeasure"]])
 
@@ -220,3 +222,27 @@ def summarize_lead(spark, sf):
 def evaluate_baseline(spark, sf):
     e = sm.evaluate_baseline(sm.articles(read_table(spark, sf, "pages")))
     return e.select("pairs", *[r6(x).alias(x) for x in ["rouge1", "rouge2", "rougeL", "rougeLsum"]])
+
+
+@query("rouge_1_stemmed", ops="E5 E1", sql=None)
+def rouge_1_stemmed(spark, sf):
+    """ROUGE-1 over Porter stems."""
+    keys = ["conv_id", "turn"]
+    r = rg.rouge_n(rg.stemmed_pairs(conversation_pairs(spark, sf), keys), keys, n=1)
+    return r.select(*keys, *[r6(f"rouge1_{m}").alias(f"rouge1_{m}") for m in ["precision", "recall", "fmeasure"]])
+
+
+@query("summarize_extractive", ops="L9 T12", sql=f"""
+WITH st AS (SELECT doc_id, {q.strip('text')} AS t FROM documents),
+sp AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0) AS s FROM st),
+se AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS pos FROM sp),
+w AS (SELECT doc_id, pos, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM se),
+n AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, w) AS n FROM w),
+sc AS (SELECT doc_id, pos, avg(n) AS score FROM n GROUP BY doc_id, pos),
+z AS (SELECT se.doc_id, se.pos, se.s, sc.score, {q.word_count('se.s')} AS len FROM se JOIN sc USING (doc_id, pos)),
+b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z),
+t AS (SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS t FROM b WHERE before < 10 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(array_to_string(list_slice(list_filter(string_split_regex(t.t, '\\s+'), lambda x: x <> ''), 1, 40), ' '), '') AS summary
+FROM documents d LEFT JOIN t USING (doc_id)""")
+def summarize_extractive(spark, sf):
+    return sm.extractive_summary(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 10, 40)
