@@ -22,7 +22,9 @@ into blocks, and a row stays only if some partner passes the sketch test below.
 
 *Sketch test.*  A set's sketch has the parity of the number of shingles hashed to
 each bit.  Sketches differ in no more bits than the sets differ in shingles, so
-a pair whose sketches differ in more than (a + b) // 7 bits cannot link.
+a pair whose sketches differ in more than (a + b) // 7 bits cannot link.  Plain
+sketches have at least as many bits as the set shingles; those of classes that
+pass are made again with ``FINE`` times the bits, which leaves few wrong pairs.
 
 *Links.*  Surviving pairs are verified with the whole sets.  In hot buckets the
 components found so far are contracted first: every class is verified against
@@ -56,11 +58,12 @@ from .codepoints import text_slices
 from .shingles import GOLD, mix, shingle_sets
 
 HOT = 40                   # classes from which a bucket is compared in blocks
-BLOCK = 1024               # classes of a block
+BLOCK = 2048               # classes of a block
 ROUNDS = 4                 # contractions of hot buckets before the rest is verified
+FINE = 8                   # a fine sketch has this many times the bits of a plain one
 SEEN = 100_000             # classes whose signatures a task remembers to have emitted
 BITMAP = 1 << 20           # bits of the filter that fetches texts again
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 
 def _bands() -> np.ndarray:
@@ -142,9 +145,9 @@ def sketch_bits(sizes: np.ndarray) -> np.ndarray:
     return np.int64(1) << np.maximum(7, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
 
 
-def sketches(x: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Parity bits of every set: a power of two of bits, at least its size."""
-    bits = sketch_bits(sizes)
+def sketches(x: np.ndarray, sizes: np.ndarray, factor: int = 1) -> list[bytes]:
+    """Parity bits of every set: a power of two of bits, at least ``factor`` times its size."""
+    bits = sketch_bits(sizes) * factor
     base = np.cumsum(bits) - bits
     spot = np.repeat(base, sizes) + (mix(x, 91) & (np.repeat(bits, sizes) - 1).astype(np.uint64)).astype(np.int64)
     parity = (np.bincount(spot, minlength=int(bits.sum())) & 1).astype(np.uint8)
@@ -202,8 +205,8 @@ def signature_rows(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def fetch_sets(df: DataFrame, key_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(cls, shingles) of the wanted (cls, doc): texts are read again, but only
-    rows whose key falls on a bit of a bitmap of fixed size."""
+    """(cls, n, shingles, sketch) of the wanted (cls, doc), with fine sketches: texts
+    are read again, but only rows whose key falls on a bit of a bitmap of fixed size."""
     slot = F.pmod(F.xxhash64("doc"), F.lit(BITMAP))
     hits = wanted.select(slot.cast("int").alias("s")).agg(F.collect_set("s").alias("s")).first()["s"]   # <= BITMAP numbers
     bitmap = np.zeros(BITMAP, dtype=bool)
@@ -221,12 +224,12 @@ def fetch_sets(df: DataFrame, key_col: str, text_col: str, wanted: DataFrame) ->
                 x, sizes = shingle_sets(texts)
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(class_ids(x, sizes), pa.int64()),
-                     pa.array([x[e - n:e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())],
-                    names=["cls", "shingles"])
+                    [pa.array(class_ids(x, sizes), pa.int64()), pa.array(sizes, pa.int64()),
+                     pa.array([x[e - n:e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary()),
+                     pa.array(sketches(x, sizes, FINE), pa.binary())], names=["cls", "n", "shingles", "sketch"])
 
     rows = df.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    found = rows.where(may_be(slot.cast("int"))).select("t").mapInArrow(work, "cls long, shingles binary")
+    found = rows.where(may_be(slot.cast("int"))).select("t").mapInArrow(work, "cls long, n long, shingles binary, sketch binary")
     return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -388,15 +391,15 @@ def join_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     hot = hot_members(rows, classes)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
     sets = cut_lineage(fetch_sets(df, key_col, text_col, classes.join(wanted, "cls").select("cls", "doc")))
-    edges = cut_lineage(verify(pairs, sets))
+    none = classes.select("cls", F.col("cls").alias("label"))
+    edges = verify(pairs.unionByName(hot_pairs(hot, sets, none, nearest=True)).distinct(), sets)
     labels = components(edges)
-    if not hot.isEmpty():
-        for turn in range(ROUNDS + 1):
-            more = cut_lineage(verify(hot_pairs(hot, classes, labels, nearest=turn < ROUNDS), sets))
-            if turn < ROUNDS and more.isEmpty():
-                continue
-            edges = edges.unionByName(more)
-            labels = components(edges)
+    for turn in range(1, ROUNDS + 1):
+        open_pairs = cut_lineage(hot_pairs(hot, sets, labels, nearest=turn < ROUNDS))
+        if open_pairs.isEmpty():                               # no bucket may still link two components
+            break
+        edges = labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).unionByName(verify(open_pairs, sets))
+        labels = components(edges)
     named = classes.select("cls", "doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     by_class = named.join(smallest, "label").select("cls", "component_id")
