@@ -62,6 +62,7 @@ MIN_CONFIDENCE = 0.5
 MIN_SCORE = 0.5
 ROUNDS = 4
 BLOCK = 256
+FILTER_BITS = 1 << 18      # bits of the filter on patterns when the corpus is counted
 
 
 def prefix_sums(values: Column) -> Column:
@@ -171,15 +172,36 @@ def _patterns(c: str) -> Column:
         F.when((key == "") & (before != ""), F.concat(F.lit("p:"), before, F.lit(" "), word))), lambda p: p.isNotNull())
 
 
+def _slot(pattern: Column) -> Column:
+    return F.pmod(F.xxhash64(pattern), F.lit(FILTER_BITS)).cast("int")
+
+
 def _occurrences(df: DataFrame, text_col: str, eligible: DataFrame, edges: DataFrame) -> DataFrame:
-    """(pattern, total): how often an eligible pattern occurs in the corpus."""
-    w = df.select(F.transform(words(F.col(text_col)), lambda x: F.lower(x)).alias("w"))
-    single = w.select(F.explode_outer("w").alias("x")).select(F.concat(F.lit("w:"), F.col("x")).alias("pattern"))
-    double = w.select(F.explode_outer(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))),
-                                                 F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))),
-                                                 lambda a, b: F.concat(F.lit("p:"), a, F.lit(" "), b))).alias("pattern"))
-    seen = single.unionByName(double).join(eligible, "pattern", "left_semi")
-    in_text = seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    """(pattern, total): how often an eligible pattern occurs in the corpus.
+
+    Words are not shuffled: a bitmap of fixed size with the eligible patterns'
+    hashes lets almost nothing else past the scan, and the exact join follows
+    on what is left, counted map-side first.
+    """
+    slots = eligible.select(_slot(F.col("pattern")).alias("s")).agg(F.collect_set("s").alias("s")).first()["s"]
+    longs = [0] * (FILTER_BITS // 64)                          # at most FILTER_BITS numbers come to the driver
+    for s in slots:
+        longs[s // 64] |= 1 << (s % 64)
+    bitmap = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in longs])
+
+    def may_be(pattern: Column) -> Column:
+        slot = _slot(pattern)
+        return F.getbit(F.get(bitmap, F.shiftright(slot, 6)), slot % 64) == 1
+
+    w = df.select(F.transform(words(F.col(text_col)), lambda x: F.lower(x)).alias("w")).select(
+        F.explode_outer(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))),
+                                   F.col("w"), lambda b, x: F.struct(b.alias("b"), x.alias("x")))).alias("p")).select("p.b", "p.x")
+    both = w.select(F.concat(F.lit("w:"), F.col("x")).alias("one"),
+                    F.concat(F.lit("p:"), F.col("b"), F.lit(" "), F.col("x")).alias("two"))
+    near = both.where(may_be(F.col("one")) | may_be(F.col("two")))
+    seen = near.select(F.explode_outer(F.array("one", "two")).alias("pattern")).where(may_be(F.col("pattern")))
+    in_text = (seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+               .join(eligible, "pattern", "left_semi"))
     in_key = edges.where(F.col("pattern").startswith("k:")).groupBy("pattern").agg(F.sum("n").alias("total"))
     return in_text.unionByName(in_key)
 
@@ -196,6 +218,8 @@ def accepted_instances(found: DataFrame, df: DataFrame, text_col: str) -> DataFr
     open_edges = edges.join(seeds.where("seed").select("instance"), "instance", "left_anti")
     hopeful = eligible.join(open_edges.select("pattern"), "pattern", "left_semi")   # may still discover something
     hopeful = cut_lineage(hopeful.distinct())
+    if hopeful.isEmpty():
+        return None
     graph = cut_lineage(edges.drop("seed").join(_occurrences(df, text_col, hopeful, edges), "pattern")
                         .join(seeds, "instance"))
     score = seeds.select("instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score"))
