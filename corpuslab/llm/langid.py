@@ -28,10 +28,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .codepoints import LETTER, class_table, code_points, text_slices
 
@@ -255,27 +255,43 @@ def predict(df: DataFrame, model: LangModel | None, text_col: str = "text", lang
             score_out: str = "score", rejected_out: str = "rejected") -> DataFrame:
     """Add the predicted language, its calibrated probability and whether the
     calibrated rule rejects the text."""
-    made = [lang_out, score_out, rejected_out]
     if model is None:
         return (df.withColumn(lang_out, F.lit(UNDETERMINED)).withColumn(score_out, F.lit(0.0))
                 .withColumn(rejected_out, F.lit(True)))
-    fields = [f for f in df.schema.fields if f.name not in made]
-    names = [f.name for f in fields]
-    schema = T.StructType([*fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()),
-                           T.StructField(rejected_out, T.BooleanType())])
     shared = df.sparkSession.sparkContext.broadcast(model)     # 2 ** bits rows x classes, both bounded
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang string, score double, rejected boolean")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for batch in batches:
-            for start, texts in text_slices(batch, text_col, SLICE_CHARS):
-                langs, scores = _score_texts(texts, m)
-                rejected = (np.array(langs) == UNDETERMINED) | (scores < m.threshold)
-                cols = [batch.column(batch.schema.get_field_index(n)).slice(start, len(texts)) for n in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                                                  pa.array(rejected, pa.bool_())], names=[*names, *made])
-
-    return df.mapInArrow(work, schema)
+        for texts in batches:
+            langs, scores = [], []
+            for part in _runs(texts):
+                a, b = _score_texts(part, m)
+                langs.extend(a)
+                scores.append(b)
+            score = np.concatenate(scores) if scores else np.zeros(0)
+            lang = pd.Series(langs, dtype=object)
+            yield pd.DataFrame({"lang": lang, "score": score,
+                                "rejected": ((lang == UNDETERMINED).to_numpy(dtype=bool) | (score < m.threshold))})
+
+    made = {lang_out: "lang", score_out: "score", rejected_out: "rejected"}
+    return (df.withColumn("_lid", scored(F.col(text_col)))     # only the text goes to Python, and no text comes back
+            .select(*[c for c in df.columns if c not in made], *[F.col(f"_lid.{f}").alias(c) for c, f in made.items()]))
+
+
+def _runs(texts: pd.Series) -> Iterator[list[str]]:
+    """Consecutive texts of about SLICE_CHARS characters; null is the empty text."""
+    part: list[str] = []
+    held = 0
+    for t in texts:
+        t = t if isinstance(t, str) else ""
+        if part and held + len(t) > SLICE_CHARS:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
 
 
 def is_held_out(key: Column) -> Column:
