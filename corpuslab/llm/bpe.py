@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .codepoints import APOSTROPHE, BLANK, LETTER, NUMBER, OTHER, SPACE, class_table, flat, text_slices
 
-SLICE_CHARS = 1 << 19      # characters worked on at once
-CACHE_PIECES = 400_000     # pieces remembered per worker
+SLICE_CHARS = 1 << 18      # characters worked on at once
+CACHE_PIECES = 200_000     # pieces remembered by a task
 WIDE_PIECE = 64            # bytes from which a piece is merged by the heap
 
 # Splitter symbols: a class with its look-ahead.
@@ -222,9 +222,9 @@ class ByteBPE:
         for token, rank in ranks.items():
             s = self.token_starts[rank]
             self.token_bytes[s:s + len(token)] = np.frombuffer(token, dtype=np.uint8)
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
         self.known: dict[str, int] = {}
         self.piece_ids = np.zeros(0, dtype=np.int32)            # ids of the known pieces end to end
         self.piece_lens = np.zeros(0, dtype=np.int64)
@@ -234,7 +234,7 @@ class ByteBPE:
         """Keep the pieces that were used again; all go if those fill the cache."""
         keep = self.uses > 1
         if keep.sum() > CACHE_PIECES // 2:
-            self._forget()
+            self.forget()
             return
         flags = keep.tolist()
         self.known = dict(zip((p for p, k in zip(self.known, flags) if k), range(int(keep.sum()))))
@@ -437,6 +437,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                     sizes = np.bincount(rows, weights=lens, minlength=len(counts)).astype(np.int64)
                     cols.append(_lists(bpe.decode_ids(ids), sizes, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *made])
+        bpe.forget()                                           # workers are reused by other operators
 
     return df.mapInArrow(work, schema)
 

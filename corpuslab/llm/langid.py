@@ -37,7 +37,7 @@ from .codepoints import LETTER, class_table, code_points, text_slices
 
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 
 @dataclass
@@ -221,7 +221,7 @@ def _score_texts(texts: list[str], model: LangModel) -> tuple[list[str], np.ndar
     bits, n_classes = model.params.bits, len(model.classes)
     sums = np.zeros((len(texts), n_classes), dtype=np.int64)
     counts = np.zeros(len(texts), dtype=np.int64)
-    width = max(1 << 14, (1 << 22) // n_classes)
+    width = max(1 << 14, (1 << 20) // n_classes)
     coded = [_letters(t) for t in texts]
     lettered = np.array([bool(c.any()) for c in coded])
     at = 0

@@ -63,7 +63,7 @@ ROUNDS = 4                 # contractions of hot buckets before the rest is veri
 FINE = 8                   # a fine sketch has this many times the bits of a plain one
 SEEN = 100_000             # classes whose signatures a task remembers to have emitted
 BITMAP = 1 << 20           # bits of the filter that fetches texts again
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 
 
 def _bands() -> np.ndarray:
