@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .codepoints import APOSTROPHE, BLANK, LETTER, NUMBER, OTHER, SPACE, class_table, flat, text_slices
 
-SLICE_CHARS = 1 << 18      # characters worked on at once
-CACHE_PIECES = 200_000     # pieces remembered by a task
+SLICE_CHARS = 1 << 17      # characters worked on at once
+CACHE_PIECES = 120_000     # pieces remembered by a task
 WIDE_PIECE = 64            # bytes from which a piece is merged by the heap
 
 # Splitter symbols: a class with its look-ahead.

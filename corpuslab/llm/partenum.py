@@ -54,6 +54,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .bitmap import bitmap_filter
 from .codepoints import text_slices
 from .shingles import GOLD, mix, shingle_sets
 
@@ -62,7 +63,7 @@ BLOCK = 2048               # classes of a block
 ROUNDS = 4                 # contractions of hot buckets before the rest is verified
 FINE = 8                   # a fine sketch has this many times the bits of a plain one
 SEEN = 100_000             # classes whose signatures a task remembers to have emitted
-BITMAP = 1 << 20           # bits of the filter that fetches texts again
+BITMAP = 1 << 18           # bits of the filter that fetches texts again
 SLICE_CHARS = 1 << 18
 
 
@@ -207,16 +208,7 @@ def signature_rows(df: DataFrame, text_col: str) -> DataFrame:
 def fetch_sets(df: DataFrame, key_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """(cls, n, shingles, sketch) of the wanted (cls, doc), with fine sketches: texts
     are read again, but only rows whose key falls on a bit of a bitmap of fixed size."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(BITMAP))
-    hits = wanted.select(slot.cast("int").alias("s")).agg(F.collect_set("s").alias("s")).first()["s"]   # <= BITMAP numbers
-    bitmap = np.zeros(BITMAP, dtype=bool)
-    bitmap[np.array(hits, dtype=np.int64)] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
-
-    @F.pandas_udf("boolean")
-    def may_be(slots: pd.Series) -> pd.Series:
-        bits = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8))
-        return pd.Series(bits[slots.to_numpy()].astype(bool))
+    may_be = bitmap_filter(wanted, "doc", BITMAP)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +221,7 @@ def fetch_sets(df: DataFrame, key_col: str, text_col: str, wanted: DataFrame) ->
                      pa.array(sketches(x, sizes, FINE), pa.binary())], names=["cls", "n", "shingles", "sketch"])
 
     rows = df.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    found = rows.where(may_be(slot.cast("int"))).select("t").mapInArrow(work, "cls long, n long, shingles binary, sketch binary")
+    found = rows.where(may_be(F.col("doc"))).select("t").mapInArrow(work, "cls long, n long, shingles binary, sketch binary")
     return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
 

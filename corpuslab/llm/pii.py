@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import let
 from ..session import cut_lineage
+from .bitmap import bitmap_filter
 from .words import words
 
 # The base patterns of the contract.  The quantifiers are made
@@ -172,10 +173,6 @@ def _patterns(c: str) -> Column:
         F.when((key == "") & (before != ""), F.concat(F.lit("p:"), before, F.lit(" "), word))), lambda p: p.isNotNull())
 
 
-def _slot(pattern: Column) -> Column:
-    return F.pmod(F.xxhash64(pattern), F.lit(FILTER_BITS)).cast("int")
-
-
 def _occurrences(df: DataFrame, text_col: str, eligible: DataFrame, edges: DataFrame) -> DataFrame:
     """(pattern, total): how often an eligible pattern occurs in the corpus.
 
@@ -183,16 +180,7 @@ def _occurrences(df: DataFrame, text_col: str, eligible: DataFrame, edges: DataF
     hashes lets almost nothing else past the scan, and the exact join follows
     on what is left, counted map-side first.
     """
-    slots = eligible.select(_slot(F.col("pattern")).alias("s")).agg(F.collect_set("s").alias("s")).first()["s"]
-    longs = [0] * (FILTER_BITS // 64)                          # at most FILTER_BITS numbers come to the driver
-    for s in slots:
-        longs[s // 64] |= 1 << (s % 64)
-    bitmap = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in longs])
-
-    def may_be(pattern: Column) -> Column:
-        slot = _slot(pattern)
-        return F.getbit(F.get(bitmap, F.shiftright(slot, 6)), slot % 64) == 1
-
+    may_be = bitmap_filter(eligible, "pattern", FILTER_BITS)
     w = df.select(F.transform(words(F.col(text_col)), lambda x: F.lower(x)).alias("w")).select(
         F.explode_outer(F.zip_with(F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))),
                                    F.col("w"), lambda b, x: F.struct(b.alias("b"), x.alias("x")))).alias("p")).select("p.b", "p.x")
