@@ -5,25 +5,24 @@ written as Parquet and read again as the next one's input:
 
 1. language ID: documents that the calibrated rule rejects go;
 2. line dedup: lines that many documents share stay in one of them only;
-3. n-gram Jaccard join: one document of each group of near copies stays, the
-   one with the smallest doc_id;
+3. n-gram Jaccard join: one row of each group of near copies stays, the one
+   with the smallest doc_id (none is the largest), then the smallest text hash;
 4. mixing: documents are taken as often as the target weights of their sources
    ask for;
 5. byte-level BPE: ids of every whole text, checked by decoding them.
 
 All stages but the last return the columns of ``documents`` (``n_chars`` follows
 an edited text).  Null text counts as empty: it has no language and goes in the
-first stage.  A doc_id names one document: of rows that repeat it, the third
-stage keeps one (the smallest text hash); rows without a doc_id cannot be named
-as copies and stay.  An empty table gives an empty result.  A text that loses
-all its lines stays as an empty document.
+first stage.  Every row is a document: rows that share a doc_id, or have none,
+are copies only if their texts are.  An empty table gives an empty result.  A
+text that loses all its lines stays as an empty document.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import bpe, langid, linededup, mixing, partenum
@@ -47,12 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = partenum.join_components(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = (docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-             .withColumn("_pe_first", F.row_number().over(first)).where("_pe_first = 1"))
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return partenum.one_per_component(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

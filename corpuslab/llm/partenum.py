@@ -57,6 +57,7 @@ from ..session import cut_lineage
 from .bitmap import bitmap_filter
 from .codepoints import text_slices
 from .shingles import GOLD, mix, shingle_sets
+from .words import BLANKS
 
 HOT = 40                   # classes from which a bucket is compared in blocks
 BLOCK = 2048               # classes of a block
@@ -168,19 +169,22 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 # -- scans of the texts -------------------------------------------------------
-def doc_classes(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(doc, n_shingles, cls, sketch) of every row."""
+def doc_classes(df: DataFrame, key_col: str, text_col: str, with_body: bool = False) -> DataFrame:
+    """(doc, n_shingles, cls, sketch) of every row; ``with_body``: its text hash too."""
+    kept = ["doc", "body"] if with_body else ["doc"]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in text_slices(batch, "t", SLICE_CHARS):
                 x, sizes = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()),
+                    [*[batch.column(i).slice(start, len(texts)) for i in range(len(kept))], pa.array(sizes, pa.int64()),
                      pa.array(class_ids(x, sizes), pa.int64()), pa.array(sketches(x, sizes), pa.binary())],
-                    names=["doc", "n_shingles", "cls", "sketch"])
+                    names=[*kept, "n_shingles", "cls", "sketch"])
 
-    return df.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("t")).mapInArrow(
-        work, "doc long, n_shingles long, cls long, sketch binary")
+    made = {"doc": F.col(key_col).cast("long"), "body": F.xxhash64(text_col)}
+    return df.select(*[made[c].alias(c) for c in kept], F.col(text_col).alias("t")).mapInArrow(
+        work, ", ".join(f"{c} long" for c in kept) + ", n_shingles long, cls long, sketch binary")
 
 
 def signature_rows(df: DataFrame, text_col: str) -> DataFrame:
@@ -373,9 +377,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) of every row of ``df``."""
-    docs = cut_lineage(doc_classes(df, key_col, text_col))
+def class_components(df: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(cls, doc, label): every class of ``docs`` (the rows' classes) with its
+    smallest key and the label of its component."""
     classes = cut_lineage(docs.where("n_shingles > 0").groupBy("cls").agg(
         F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     rows = bucket_rows(signature_rows(df, text_col))
@@ -392,8 +396,35 @@ def join_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "tex
             break
         edges = labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).unionByName(verify(open_pairs, sets))
         labels = components(edges)
-    named = classes.select("cls", "doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return classes.select("cls", "doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def join_components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) of every row of ``df``."""
+    docs = cut_lineage(doc_classes(df, key_col, text_col))
+    named = class_components(df, docs, key_col, text_col)
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     by_class = named.join(smallest, "label").select("cls", "component_id")
     out = docs.drop("sketch").join(by_class, "cls", "left")
     return out.select(F.col("doc").alias(key_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def one_per_component(df: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: that of the smallest key (a null key is the
+    largest), then the smallest text hash.  Rows without words link with nothing
+    and all stay.  Rows are chosen by (key, text hash), so rows of one key with
+    unlike texts are told apart, and rows equal in both are copies."""
+    wordless = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(BLANKS)) == ""
+    docs = cut_lineage(doc_classes(df, key_col, text_col, with_body=True))
+    named = class_components(df, docs, key_col, text_col)
+    # A class's first row before the join: many copies of one text are one row by then.
+    order = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "body")
+    first = docs.where("n_shingles > 0").groupBy("cls").agg(F.min(order).alias("m"))
+    chosen = first.join(named.select("cls", "label"), "cls").groupBy("label").agg(F.min("m").alias("m")).select(
+        F.col("m.doc").alias("_pe_doc"), F.col("m.body").alias("_pe_body"))
+    rows = df.where(~wordless)
+    found = rows.join(chosen, F.col(key_col).cast("long").eqNullSafe(F.col("_pe_doc"))
+                      & (F.xxhash64(text_col) == F.col("_pe_body")), "left_semi")
+    copies = found.groupBy(F.col(key_col).alias("_pe_doc"), F.xxhash64(text_col).alias("_pe_body")).agg(
+        F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("_pe_row"))
+    return copies.select(*[F.col("_pe_row")[c].alias(c) for c in df.columns]).unionByName(df.where(wordless))

@@ -59,5 +59,29 @@ def test_odd_rows(spark, make_docs):
     assert P.STAGES[4][1](spark, docs, "").count() == docs.count()
 
 
+def test_jaccard_stage_decides_by_row(spark, make_docs):
+    """Unlike texts of one doc_id all stay, each group of near copies keeps one row, rows without a doc_id too."""
+    rng = random.Random(8)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    t = [prose() for _ in range(40)]
+    rows = [(3, t[0]), (5, t[0] + " end"), (5, t[1]), *[(9, x) for x in t[2:20]], (9, t[2] + " end"), (9, t[3]), (9, t[3]),
+            (None, t[20]), (None, t[20] + " end"), (None, t[20]), (None, t[21]), (11, t[21] + " end"), (None, t[22]),
+            *[(20 + i, t[30 + i]) for i in range(10)], *[(5, t[30 + i] + " end") for i in range(10)],
+            (40, ""), (40, ""), (41, None), (None, " \n"), (None, " \n")]
+    docs = make_docs(rows, extra=["_pe_row", "body", "label"])
+    out = P.jaccard_join(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    wordless = [(k, x) for k, x in rows if not (x or "").strip()]
+    assert sorted(map(str, (r for r in got if not (r[1] or "").strip()))) == sorted(map(str, wordless))
+    texts = {}
+    for k, x in got:
+        if (x or "").strip():
+            texts.setdefault((x.removesuffix(" end")), []).append(k)
+    want = {t[0]: [3], t[1]: [5], **{x: [9] for x in t[2:20]}, t[20]: [None], t[21]: [11], t[22]: [None],
+            **{t[30 + i]: [5] for i in range(10)}}
+    assert texts == want
+
+
 def test_empty_table(spark, make_docs, table_dir):
     assert P.run(spark, table_dir(make_docs([]))).count() == 0
