@@ -13,8 +13,8 @@ The bootstrapping adds identifiers that no fixed pattern knows:
    its first word (``token=``) are its lexical patterns.  Patterns that precede
    fewer than ``MIN_INSTANCES`` different candidates are not specific enough.
    For the others all their occurrences in the corpus are counted.
-3. Over the graph of patterns and instances, repeated ``ROUNDS`` times or until
-   nothing is added: a pattern's confidence is the share of its occurrences that
+3. Over the graph of patterns and instances, repeated until a round adds
+   nothing: a pattern's confidence is the share of its occurrences that
    an accepted instance follows; patterns of at least ``MIN_INSTANCES`` accepted
    instances and ``MIN_CONFIDENCE`` are trusted; an instance's score is the
    noisy-or over its trusted patterns; instances above ``MIN_SCORE`` are accepted
@@ -61,7 +61,6 @@ MIN_ALNUM = 5
 MIN_INSTANCES = 3
 MIN_CONFIDENCE = 0.5
 MIN_SCORE = 0.5
-ROUNDS = 4
 BLOCK = 256
 FILTER_BITS = 1 << 18      # bits of the filter on patterns when the corpus is counted
 
@@ -211,8 +210,8 @@ def accepted_instances(found: DataFrame, df: DataFrame, text_col: str) -> DataFr
     graph = cut_lineage(edges.drop("seed").join(_occurrences(df, text_col, hopeful, edges), "pattern")
                         .join(seeds, "instance"))
     score = seeds.select("instance", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score"))
-    size = -1
-    for _ in range(ROUNDS):
+    size = 0
+    while True:                                                # accepted instances only grow
         weighed = graph.join(score, "instance")
         trusted = (weighed.groupBy("pattern").agg(
             (F.sum(F.when(F.col("score") >= MIN_SCORE, F.col("n")).otherwise(0)) / F.max("total")).alias("confidence"),
@@ -225,7 +224,7 @@ def accepted_instances(found: DataFrame, df: DataFrame, text_col: str) -> DataFr
                             .unionByName(found_now))
         added = score.where((F.col("score") >= MIN_SCORE)).join(seeds.where(~F.col("seed")), "instance", "left_semi")
         n = added.count()
-        if n == size or n == 0:
+        if n <= size:
             break
         size = n
     return added.select("instance") if n else None

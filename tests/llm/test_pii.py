@@ -73,6 +73,22 @@ def test_second_round_uses_discovered_instances(spark, make_docs, table_dir):
     assert "id:" in found[20] and "id:" in found[41] and "id:" in found[60]
 
 
+def test_chain_of_six_hops(spark, make_docs, table_dir):
+    """Each group of identifiers is only found by a pattern that the group before it teaches."""
+    rng = random.Random(7)
+    patterns = ["wire-to", "account-no", "member-ref", "badge-code", "locker-key", "parcel-mark", "vault-name"]
+    ids = [[f"ZX{g}{i}04-55{i}1{g}" for i in range(3)] for g in range(len(patterns))]
+    texts = {i: f"{words(rng, 12)} wire-to mail{i}@bank.example.org {words(rng, 6)}" for i in range(10)}
+    for g, pattern in enumerate(patterns):
+        for x in ids[g] + (ids[g - 1] * 2 if g else []):
+            texts[len(texts)] = f"{words(rng, 12)} {pattern} {x} {words(rng, 6)}"
+    rows = run(spark, table_dir, make_docs(list(texts.items())))
+    check(rows, texts)
+    found = {texts[r["doc_id"]][int(s.split(":")[1]):int(s.split(":")[2])]
+             for r in rows for s in r["spans"].split(",") if s.startswith("id:")}
+    assert found == {x for g in ids for x in g}
+
+
 def test_repeated_rows_and_columns(spark, make_docs):
     df = make_docs([(1, "mail a@b.co now"), (1, "mail a@b.co now"), (None, "+1 (988) 555-2485")], extra=["base", "cands", "kind"])
     out = pii.find(df).collect()
