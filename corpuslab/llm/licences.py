@@ -180,16 +180,16 @@ def _find(text: np.ndarray, phrase: np.ndarray) -> int:
     raise ValueError("a key phrase must stand in its template")
 
 
-def candidates(index: Index, ids: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-    """(text, template, coverage, first and last place of the template's beginning
-    that its votes name) of every group of votes that agree up to SLACK words."""
+def candidates(index: Index, ids: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, template, coverage, first and last place in the text of the template's
+    beginning that its votes name) of every group of votes that agree up to SLACK words."""
     at = np.flatnonzero(ids >= 0)
     at = at[index.count[ids[at]] > 0]
     word = ids[at]
     times = index.count[word]
     vote = np.repeat(np.arange(len(at)), times)
     post = np.arange(len(vote)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(index.first[word], times)
-    place = at[vote] - index.posting_place[post]
+    place = at[vote] - begin[owner[at[vote]]] - index.posting_place[post]
     doc, tmpl, word = owner[at][vote], index.posting_owner[post], word[vote]
     best: dict[tuple[int, int, int, int], float] = {}
     for shift in (0, SLACK // 2):                              # overlapping bands: any SLACK / 2 words fall into one
@@ -230,18 +230,18 @@ def scan_texts(index: Index, texts: list[bytes]) -> list[tuple[int, list, list,
             places[d].append((s - int(begin[d]), len(phrase), label))
             score[d] = 1.0
     known: dict[bytes, np.ndarray] = {}
-    for d, t, coverage, low, high in candidates(index, ids, owner):
+    for d, t, coverage, low, high in candidates(index, ids, owner, begin):
         score[d] = max(score[d], coverage)
         if coverage < LEAST:
             continue
         for key, at in zip(index.keys[t], index.key_at[t]):
             starts = known.setdefault(key.tobytes(), standing(key))
-            i, j = np.searchsorted(starts, [low + at - SLACK, high + at + SLACK + 1])
+            i, j = np.searchsorted(starts, [begin[d] + low + at - SLACK, begin[d] + high + at + SLACK + 1])
             if not (owner[starts[i:j]] == d).any():
                 break
         else:
             label = index.templates[t].label
-            start = max(0, low - int(begin[d]))
+            start = max(0, low)
             if label not in found[d] or (-coverage, start) < found[d][label]:
                 found[d][label] = (-coverage, start)
     return [(int(n), sorted(p), sorted((s, label, -c) for label, (c, s) in f.items()), round(x, 6))
