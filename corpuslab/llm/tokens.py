@@ -40,9 +40,10 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple
         yield start, texts
 
 
-def hashed_words(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, end to end; number of words of each text).  The line
-    feed, which separates the texts, must not belong to words."""
+def hashed_spans(texts: list[bytes], inside: np.ndarray, seed: int | None = None):
+    """(hash of every word, end to end; number of words of each text; the texts' bytes
+    laid end to end; first and last byte of every word).  The line feed, which separates
+    the texts, must not belong to words.  Each ``seed`` gives other hashes."""
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     member = inside[data]
@@ -51,8 +52,14 @@ def hashed_words(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np
         edge = np.concatenate([[0], edge])
     starts, ends = edge[0::2], edge[1::2]
     power, inverse = _powers(len(data))
+    values = _byte_values() if seed is None else mix(_byte_values(), 1000 + seed)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_byte_values()[data] * power[:len(data)], out=sums[1:], dtype=np.uint64)
+    np.cumsum(values[data] * power[:len(data)], out=sums[1:], dtype=np.uint64)
     h = (sums[ends] - sums[starts]) * inverse[starts]
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes))]))
-    return mix(h, (ends - starts).astype(np.uint64)), counts
+    return mix(h, (ends - starts).astype(np.uint64)), counts, data, starts, ends
+
+
+def hashed_words(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, end to end; number of words of each text)."""
+    return hashed_spans(texts, inside)[:2]
