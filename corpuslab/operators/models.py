@@ -1,55 +1,113 @@
 """Text classifiers on Spark ML.
 
-Every model is a ``pyspark.ml`` estimator trained where the data lives; the
-only driver-side state is what Spark ML itself keeps (the vocabulary and
-coefficients, as long as the distinct training terms; the trees of a forest,
-which grow with depth; per-iteration losses).
+Every model is a ``pyspark.ml`` estimator trained where the data lives.  The
+vocabulary is a table: texts are joined to it, and neither it nor the IDF is ever
+collected or broadcast by this code.  What the driver holds is Spark ML's own: one
+coefficient per term for a linear model, the trees of a forest, losses.
 """
 
 from __future__ import annotations
 
+import os
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
+import pandas as pd
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer,
-                                RegexTokenizer)
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import TFIDF_TOKEN
+from ..functions import text as tx
+from . import features as fe
 from . import metrics as me
 
-# Java form of the TF-IDF token pattern for RegexTokenizer (lower-cases first).
-JAVA_TFIDF_TOKEN = TFIDF_TOKEN
-
-
-ALL_TERMS = (1 << 31) - 1
-
-
-def fit_tfidf(train: DataFrame, text: str = "text", min_df: float = 1.0, out_col: str = "features",
-              slots: int | None = None) -> PipelineModel:
-    """Tokens -> counts -> x (ln((1+N)/(1+df)) + 1) -> L2 rows, fitted on ``train``.
 
-    Spark's IDF is ln((1+N)/(1+df)); the smooth-idf '+1' is added by scaling the
-    counts with (idf + 1).  Every term is kept: the vocabulary, like the fitted
-    coefficients, is as long as the number of distinct training terms.  With
-    ``slots`` the terms are folded into that many hashed columns instead (their
-    counts add up, none is dropped), for models with a fixed input width.
-    """
-    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=JAVA_TFIDF_TOKEN, gaps=False,
-                         toLowercase=True, minTokenLength=1)
-    cv = (HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=slots) if slots else
-          CountVectorizer(inputCol="_tok", outputCol="_tf", vocabSize=ALL_TERMS, minDF=min_df))
-    fitted = Pipeline(stages=[tok, cv]).fit(train)
-    idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(fitted.transform(train))
-    scale = idf.idf.toArray() + 1.0
-    ew = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_tf", outputCol="_tfidf")
-    norm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=out_col)
-    return PipelineModel(stages=[fitted.stages[0], fitted.stages[1], ew, norm])
+@dataclass
+class TextFeatures:
+    """A fitted TF-IDF as a table (term, idx, df, idf)."""
+    terms: DataFrame
+    size: int
+    text: str = "text"
+
+    def transform(self, df: DataFrame, key: str = "doc_id", out_col: str = "features") -> DataFrame:
+        """``df`` (unique ``key``) plus the L2-normalised sparse vector of its text, materialised."""
+        toks = df.select(key, tx.tfidf_tokens(F.col(self.text)).alias("_t"))
+        return fe.with_vectors(df, fe.tfidf_rows(toks, [key], "_t", self.terms), [key], self.size, out_col)
+
+    def save(self, path: str) -> None:
+        self.terms.write.mode("overwrite").parquet(os.path.join(path, "terms"))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, text: str = "text") -> "TextFeatures":
+        terms = spark.read.parquet(os.path.join(path, "terms"))
+        return cls(terms, terms.count(), text)
+
+
+def fit_tfidf(train: DataFrame, text: str = "text") -> TextFeatures:
+    """X (ln((1+N)/(1+df)) + 1) -> L2 rows, fitted on ``train``; every term is kept."""
+    terms = fe.fit_terms(train.select(tx.tfidf_tokens(F.col(text)).alias("_t")), "_t")
+    return TextFeatures(terms, terms.count(), text)
+
+
+@dataclass
+class TextClassifier:
+    """TF-IDF and a logistic regression over it.
+
+    A text is scored by a join of its distinct words with (term, idf, coefficient) and
+    two sums, so no task needs the vocabulary or the coefficients as a whole."""
+    features: TextFeatures
+    model: LogisticRegressionModel
+
+    def weights(self) -> DataFrame:
+        """(term, idx, idf, coef) of the terms with their coefficient."""
+        spark = self.features.terms.sparkSession
+        coef = np.asarray(self.model.coefficients.toArray(), dtype=np.float64)
+        table = spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(coef), dtype=np.int64), "coef": coef}),
+                                      "idx long, coef double")
+        return self.features.terms.select("term", "idx", "idf").join(table, "idx")
+
+    def score(self, df: DataFrame, keys=("doc_id",)) -> DataFrame:
+        """``df`` (unique ``keys``) plus p1 and the prediction (int)."""
+        keys = list(keys)
+        toks = df.select(*keys, tx.tfidf_tokens(F.col(self.features.text)).alias("_t"))
+        w = fe.term_counts(toks, keys, "_t").join(self.weights(), "term").withColumn("_x", F.col("tf") * F.col("idf"))
+        sums = w.groupBy(*keys).agg((F.sum(F.col("_x") * F.col("coef")) / F.sqrt(F.sum(F.col("_x") * F.col("_x")))).alias("_z"))
+        z = F.coalesce(F.col("_z"), F.lit(0.0)) + F.lit(float(self.model.intercept))
+        out = df.join(sums, keys, "left").withColumn("p1", 1 / (1 + F.exp(-z)))
+        return out.withColumn("prediction", (F.col("p1") > 0.5).cast("int")).drop("_z")
+
+    def save(self, path: str) -> str:
+        """Persist the model (overwrite)."""
+        self.features.save(path)
+        self.model.write().overwrite().save(os.path.join(path, "model"))
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, text: str = "text") -> "TextClassifier":
+        """Reload a saved model; fails if nothing is there."""
+        return cls(TextFeatures.load(spark, path, text), LogisticRegressionModel.load(os.path.join(path, "model")))
+
+
+def fit_text_classifier(train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> TextClassifier:
+    """L1 + L2 on ``train``."""
+    feats = fit_tfidf(train, text)
+    return TextClassifier(feats, train_lr(feats.transform(train.select(key, text, label), key), label=label))
+
+
+def fit_hashed_tfidf(train: DataFrame, slots: int, text: str = "text", out_col: str = "features") -> PipelineModel:
+    """L1 with a fixed width: the terms are folded into ``slots`` hashed columns (their
+    counts add up, none is dropped), for models with a fixed input layer."""
+    tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=tx.TFIDF_TOKEN, gaps=False, toLowercase=True, minTokenLength=1)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=slots)
+    idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(tf.transform(tok.transform(train)))
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_tfidf")
+    return PipelineModel(stages=[tok, tf, scale, Normalizer(p=2.0, inputCol="_tfidf", outputCol=out_col)])
 
 
 def train_lr(train: DataFrame, features: str = "features", label: str = "label", C: float = 1e5,
@@ -117,33 +175,20 @@ def objective_log(spark, model, run: str = "lr") -> DataFrame:
                                  "run string, iteration int, loss double")
 
 
-def save_model(model, path: str) -> str:
-    """Persist a fitted model (overwrite)."""
-    model.write().overwrite().save(path)
-    return path
-
-
-def load_pipeline(path: str) -> PipelineModel:
-    """Reload a saved pipeline."""
-    return PipelineModel.load(path)
-
-
 def run(train: DataFrame | None, test: DataFrame, model_path: str | None = None, text: str = "text",
-        label: str = "label", load: bool = False):
+        label: str = "label", load: bool = False, key: str = "doc_id") -> DataFrame:
     """With ``load`` the saved model is loaded from ``model_path`` (any file
     system Spark reads; it fails if nothing is there) and scored; otherwise
     TF-IDF + LR are fitted on ``train`` and saved when a path is given."""
     if load:
         if not model_path:
             raise ValueError("load needs a model_path")
-        pm = load_pipeline(model_path)
+        model = TextClassifier.load(test.sparkSession, model_path, text)
     else:
-        feats = fit_tfidf(train, text)
-        lr = train_lr(feats.transform(train), label=label)
-        pm = PipelineModel(stages=list(feats.stages) + [lr])
+        model = fit_text_classifier(train, key, text, label)
         if model_path:
-            save_model(pm, model_path)
-    return score(pm, test)
+            model.save(model_path)
+    return model.score(test, [key])
 
 
 def make_linear_predict_fn(weights, bias):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 from .lemma import lemmatize
 
 
@@ -98,12 +99,13 @@ def clean_text(df: DataFrame, key: str = "doc_id", text: str = "text", lemmas: b
                out_col: str = "clean", keep_cols=()) -> DataFrame:
     """T1 -> T2 -> T3 -> T4 -> T8 -> T5.
 
-    ``lemmas=False`` stops after the stop-word step.  Without a lexicon the
-    lemmatiser uses the corpus words seen at least twice.
+    ``lemmas=False`` stops after the stop-word step.  ``lexicon`` is a word list or a
+    fitted lexicon (``lemma.fit_lexicon``); without one it is fitted on ``df``.
     """
     toks = df.select(key, *keep_cols, clean_tokens(F.col(text)).alias("_tokens"))
     if not lemmas:
         return toks.select(key, *keep_cols, tx.join_words(F.col("_tokens")).alias(out_col))
+    toks = cut_lineage(toks)                                   # read three times: lexicon, distinct words, texts
     lem = lemmatize(toks, [key], "_tokens", lexicon=lexicon, exceptions=exceptions,
                     out_col="_lem", keep_cols=keep_cols)
     return lem.select(key, *keep_cols, tx.join_words(F.col("_lem")).alias(out_col))
@@ -115,5 +117,5 @@ def clean_text_twice(df: DataFrame, key: str = "doc_id", text: str = "text",
     lemmatise -> lemmas that are stop words out -> join."""
     first = tx.join_words(tx.drop_stopwords(tx.words(F.col(text))))
     toks = df.select(key, tx.word_tokens(first).alias("_tokens"))
-    lem = lemmatize(toks, [key], "_tokens", lexicon=lexicon, out_col="_lem")
+    lem = lemmatize(cut_lineage(toks), [key], "_tokens", lexicon=lexicon, out_col="_lem")
     return lem.select(key, tx.join_words(tx.drop_stopwords(F.col("_lem"))).alias(out_col))

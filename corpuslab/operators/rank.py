@@ -80,8 +80,11 @@ def range_rank(df: DataFrame, order: list, rank_col: str = "rank", start: int =
     skewed or prefixed keys still spread evenly) and materialised, so that the
     partition of a row is fixed; the partitions are counted (one row each) and
     rows are numbered inside their partition.  Ties must be broken in ``order``.
+    The number of partitions is given, so that they are not merged before the
+    result is materialised and read by everything downstream.
     """
-    laid = cut_lineage(df.repartitionByRange(*order).withColumn("_rp", F.spark_partition_id()))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_rp", F.spark_partition_id()))
     counts = laid.groupBy("_rp").agg(F.count(F.lit(1)).alias("_rn"))
     before = Window.orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
     offsets = counts.select("_rp", F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_ro"))

@@ -1,9 +1,12 @@
 """Per-token lookups through a word table (shared by T8, J2, T21).
 
-Tokens are exploded with their position, joined to the lookup table on the token
-(AQE broadcasts the table when its measured size is under the threshold, and
-splits a hot token's partition otherwise), and regrouped per row in position
-order.  The regroup is keyed by the row key, which is unique, so it cannot skew.
+A text is looked up by its dictionary: the distinct words of every ``CHUNK`` tokens
+are joined to the table (AQE broadcasts it when its measured size is under the
+threshold, and splits a hot word's partition otherwise), come back to the text as one
+map per chunk, and the token array is transformed in place.  Positions never leave the
+row, a word repeated in a chunk moves once, and the token array itself moves at most
+once, by the row key.  Chunks keep the maps short, so that a text of any length costs
+a bounded number of comparisons per token.
 """
 
 from __future__ import annotations
@@ -11,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import let
+
+CHUNK = 512
+
 
 def explode_tokens(df: DataFrame, key_cols, tokens_col: str, keep_cols=(),
                    pos_col: str = "pos", token_col: str = "token", outer: bool = False) -> DataFrame:
@@ -19,21 +26,36 @@ def explode_tokens(df: DataFrame, key_cols, tokens_col: str, keep_cols=(),
     return df.select(*key_cols, *keep_cols, fn(F.col(tokens_col)).alias(pos_col, token_col))
 
 
+def _chunk_numbers(tokens: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.greatest(F.size(tokens), F.lit(1)) - 1) / CHUNK).cast("int"))
+
+
 def map_tokens(df: DataFrame, key_cols, tokens_col: str, mapping: DataFrame, from_col: str,
-               to_col: str, out_col: str, default: Column | None = None,
-               keep_cols=(), drop_unmapped: bool = False) -> DataFrame:
+               to_col: str, out_col: str, default: Column | None = None, keep_cols=()) -> DataFrame:
     """Replace every token by ``mapping[to_col]`` (``default`` when missing).
 
     ``default=None`` keeps the token itself.  Rows with no tokens keep an empty array.
+    ``key_cols`` name a row; ``mapping`` has one row per token.
     """
-    key_cols = list(key_cols)
-    ex = df.select(*key_cols, *keep_cols,
-                   F.posexplode_outer(F.col(tokens_col)).alias("_pos", "_tok"))
-    m = mapping.select(F.col(from_col).alias("_tok"), F.col(to_col).alias("_val"))
-    j = ex.join(m, on="_tok", how="inner" if drop_unmapped else "left")
-    val = F.coalesce(F.col("_val"), default if default is not None else F.col("_tok"))
-    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos").alias("p"), val.alias("v")))
-    agg = j.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(item)).alias("_l"),
-        *[F.first(c).alias(c) for c in keep_cols])
-    return agg.withColumn(out_col, F.transform(F.col("_l"), lambda s: s["v"])).drop("_l")
+    keys = list(key_cols)
+    tokens = F.coalesce(F.col(tokens_col), F.array().cast(df.schema[tokens_col].dataType))
+    base = df.select(*keys, *keep_cols, tokens.alias("_toks"))
+
+    def chunk(c: Column) -> Column:
+        return F.slice("_toks", c * CHUNK + 1, F.lit(CHUNK))
+
+    distinct = F.flatten(F.transform(_chunk_numbers(F.col("_toks")), lambda c: F.transform(
+        F.array_distinct(chunk(c)), lambda t: F.struct(c.alias("c"), t.alias("t")))))
+    words = base.select(*keys, F.explode_outer(distinct).alias("_e")).where(F.col("_e.t").isNotNull())
+    found = (words.select(*keys, F.col("_e.c").alias("_c"), F.col("_e.t").alias("_tok"))
+             .join(mapping.select(F.col(from_col).alias("_tok"), F.col(to_col).alias("_val")), "_tok"))
+    maps = (found.repartition(*keys).groupBy(*keys, "_c")
+            .agg(F.map_from_entries(F.collect_list(F.struct("_tok", "_val"))).alias("_m"))
+            .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_m"))).alias("_ms")))
+
+    def looked(c: Column) -> Column:
+        return let(F.element_at("_ms", c), lambda m: F.transform(chunk(c), lambda t: F.coalesce(
+            F.element_at(m, t), default if default is not None else t)))
+
+    mapped = F.flatten(F.transform(_chunk_numbers(F.col("_toks")), looked))
+    return base.join(maps, keys, "left").select(*keys, *keep_cols, mapped.alias(out_col))

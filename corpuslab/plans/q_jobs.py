@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import models as md
+from ..operators.lemma import fit_lexicon
 from ..operators import prep, split
 from ..operators import rouge as rg
 from ..operators import summarize as sm
@@ -24,15 +25,16 @@ SUMMARIES = T.StructType([T.StructField("Body", T.StringType()), T.StructField("
 
 
 def classify_to_csv(docs, labels, path: str, label_col: str = "quality", key: str = "doc_id", seed: int = 42) -> str:
-    """clean -> stratified split -> TF-IDF + LR on the training side -> score the
-    rest -> CSV (text, output, label).  The lexicon comes from the training side."""
-    clean = cut_lineage(prep.clean_text(prep.labelled(docs, labels, label_col), key, "text", out_col="clean", lemmas=False,
-                                        keep_cols=["label"]).withColumnRenamed("clean", "text"))
-    parts = split.stratified_split(clean, "label", 0.2, key, seed)
-    train, test = (cut_lineage(parts.filter(F.col("split") == s)) for s in ("train", "test"))
-    feats = md.fit_tfidf(train, "text")
-    model = md.train_lr(cut_lineage(feats.transform(train)))
-    scored = md.score(model, feats.transform(test))
+    """stratified split -> lexicon of the training side -> clean -> TF-IDF + LR on the
+    training side -> score the rest -> CSV (text, output, label)."""
+    rows = cut_lineage(prep.labelled(docs, labels, label_col).select(key, "text", "label"))
+    sides = split.stratified_split(rows.select(key, "label"), "label", 0.2, key, seed).select(key, "split")
+    parts = cut_lineage(rows.join(sides, key))
+    lexicon = fit_lexicon(parts.filter(F.col("split") == "train").select(prep.clean_tokens(F.col("text")).alias("toks")), "toks")
+    clean = cut_lineage(prep.clean_text(parts, key, "text", lexicon=lexicon, out_col="clean", keep_cols=["label", "split"])
+                        .withColumnRenamed("clean", "text"))
+    model = md.fit_text_classifier(clean.filter(F.col("split") == "train"), key)
+    scored = model.score(clean.filter(F.col("split") == "test"), [key])
     return fl.write_csv(scored.select("text", F.col("prediction").alias("output"), F.col("label").cast("int")), path)
 
 

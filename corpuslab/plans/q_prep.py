@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import prep, split
-from ..operators.lemma import lemma_table, corpus_lexicon
+from ..operators.lemma import fit_lexicon, lemma_table
 from ..sources.tables import read_table
 from ..sources.profile import profile
 from . import sqlfrag as q
@@ -87,7 +87,7 @@ def lemmatize_words(spark, sf):
     docs = read_table(spark, sf, "documents")
     toks = docs.select(prep.clean_tokens(F.col("text")).alias("toks"))
     words = toks.select(F.explode_outer("toks").alias("word"))
-    return lemma_table(words, corpus_lexicon(toks, "toks"))
+    return lemma_table(words, fit_lexicon(toks, "toks"))
 
 
 @query("clean_text_twice", ops="T7 T10 J3 T8", sql=f"""

@@ -9,6 +9,8 @@ from ..functions.numeric import r6
 
 from ..functions import text as tx
 from ..operators import features as fe
+from ..operators import models as md
+from ..operators import split
 from ..operators import vocab as vb
 from ..sources.tables import read_table
 from . import sqlfrag as q
@@ -128,6 +130,11 @@ emb AS (SELECT v.idx, v.word, e.embedding IS NOT NULL AS found,
         FROM vocab v LEFT JOIN embeddings e ON e.vec_id = v.idx)"""
 
 
+def _near_zero(x):
+    """Rounded for the comparison, without a negative zero."""
+    return F.when(F.abs(x) < 4e-7, F.lit(0.0)).otherwise(r6(x, 6))
+
+
 def _emb(spark, sf):
     t = _tokens(spark, sf)
     voc = vb.build_vocab(t, "t")
@@ -136,13 +143,10 @@ def _emb(spark, sf):
 
 @query("embedding_table", ops="J1 M6", sql=f"""
 WITH {vocab_ctes()}, {EMB_CTE}
-SELECT idx, word, found, round(1e-10 + list_sum(vec), 6) AS vec_sum, round(1e-10 + sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS vec_l2
-FROM emb""")
+SELECT idx, word, found, list_transform(vec, lambda x: CASE WHEN abs(x) < 4e-7 THEN 0.0::DOUBLE ELSE round(1e-10 + x, 6) END) AS vec FROM emb""")
 def embedding_table(spark, sf):
     _, _, emb = _emb(spark, sf)
-    return emb.select("idx", "word", "found",
-                      r6(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"),
-                      r6(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("vec_l2"))
+    return emb.select("idx", "word", "found", F.transform("vec", _near_zero).alias("vec"))
 
 
 def _pool_sql(fn: str) -> str:
@@ -151,8 +155,7 @@ WITH {vocab_ctes()}, {EMB_CTE},
 tv AS (SELECT ex.doc_id, ex.pos, emb.vec FROM ex JOIN vocab v USING (word) JOIN emb ON emb.idx = v.idx),
 dims AS (SELECT doc_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM tv),
 pd AS (SELECT doc_id, d, {fn}(x) AS m, count(*) AS n FROM dims GROUP BY doc_id, d)
-SELECT doc_id, max(n) AS n_tokens, round(1e-10 + sum(m), 6) AS pool_sum, round(1e-10 + sqrt(sum(m * m)), 6) AS pool_l2
-FROM pd GROUP BY doc_id"""
+SELECT doc_id, max(n) AS n_tokens, list(CASE WHEN abs(m) < 4e-7 THEN 0.0::DOUBLE ELSE round(1e-10 + m, 6) END ORDER BY d) AS pooled FROM pd GROUP BY doc_id"""
 
 
 def _pool(spark, sf, how):
@@ -160,9 +163,7 @@ def _pool(spark, sf, how):
     ids = vb.encode_ids(t, ["doc_id"], "t", voc)
     tv = fe.token_vectors(ids, "doc_id", "ids", emb)
     p = fe.pool_vectors(tv, "doc_id", how=how)
-    return p.select("doc_id", "n_tokens",
-                    r6(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x), 6).alias("pool_sum"),
-                    r6(F.sqrt(F.aggregate("pooled", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("pool_l2"))
+    return p.select("doc_id", "n_tokens", F.transform("pooled", _near_zero).alias("pooled"))
 
 
 @query("mean_pool", ops="A17 J1 J2", sql=_pool_sql("avg"))
@@ -205,19 +206,40 @@ def tfidf_weights(spark, sf):
     return w.select("doc_id", "term", "tf", r6("weight", 6).alias("weight"))
 
 
+@query("tfidf_vectors", ops="L1 A6", sql=f"""
+WITH {TFIDF_CTES},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY doc_id, term),
+ids AS (SELECT term, idf, row_number() OVER (ORDER BY term) - 1 AS idx FROM idf),
+w AS (SELECT tf.doc_id, ids.idx, tf.tf * ids.idf AS w FROM tf JOIN ids USING (term)),
+n AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS v FROM w),
+r AS (SELECT doc_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indices, list(round(1e-10 + v, 6) ORDER BY idx) AS vals
+      FROM n GROUP BY doc_id)
+SELECT tk.doc_id, coalesce(indices, '') AS indices, coalesce(vals, []) AS vals FROM tk LEFT JOIN r USING (doc_id)""")
+def tfidf_vectors(spark, sf):
+    """The same weights as one sparse vector per text, as the learners read them."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    v = F.unwrap_udt("features")
+    return md.fit_tfidf(docs).transform(docs).select(
+        "doc_id", F.array_join(v["indices"].cast("array<string>"), ",").alias("indices"),
+        F.transform(v["values"], lambda x: r6(x, 6)).alias("vals"))
+
+
 @query("encode_unseen", ops="A5 J2 T21", sql=f"""
 WITH toks AS (SELECT doc_id, {q.basic_english('text')} AS t FROM documents),
-ex AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM toks),
-vc AS (SELECT word, count(*) AS freq FROM ex WHERE doc_id % 5 <> 0 AND word <> '<unk>' GROUP BY word),
-vocab AS (SELECT word, row_number() OVER (ORDER BY freq DESC, word) AS idx FROM vc)
-SELECT t.doc_id, CAST(len(t.t) AS BIGINT) AS n_tokens, count(ex.word) FILTER (v.idx IS NULL) AS n_unknown,
-       CAST(coalesce(sum(v.idx), 0) AS BIGINT) AS id_sum
-FROM toks t LEFT JOIN ex USING (doc_id) LEFT JOIN vocab v ON v.word = ex.word GROUP BY t.doc_id, t.t""")
+ex AS MATERIALIZED (SELECT doc_id, unnest(t) AS word FROM toks),
+tr AS MATERIALIZED (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {q.md5key('doc_id')}, doc_id) AS r, count(*) OVER () AS n FROM documents)
+       WHERE r <= floor(CAST('0.8' AS DOUBLE) * n)),
+vc AS (SELECT word, count(*) AS freq FROM ex JOIN tr USING (doc_id) WHERE word <> '<unk>' GROUP BY word),
+vocab AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY freq DESC, word) AS idx FROM vc),
+per AS (SELECT doc_id, count(*) FILTER (v.idx IS NULL) AS n_unknown, sum(v.idx) AS id_sum FROM ex LEFT JOIN vocab v USING (word) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.t) AS BIGINT) AS n_tokens, coalesce(n_unknown, 0) AS n_unknown, CAST(coalesce(id_sum, 0) AS BIGINT) AS id_sum
+FROM toks t LEFT JOIN per USING (doc_id)""")
 def encode_unseen(spark, sf):
-    """The vocabulary comes from the training side (four of five documents); all
-    documents are encoded with it, so unknown words occur."""
+    """The vocabulary comes from the training side of an exact split; all documents
+    are encoded with it, so unknown words occur."""
     t = _tokens(spark, sf)
-    voc = vb.build_vocab(t.filter(F.col("doc_id") % 5 != 0), "t")
+    sides = split.fraction_split(t.select("doc_id"), {"train": 0.8, "test": 0.2}, "doc_id")
+    voc = vb.build_vocab(t.join(sides.where(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi"), "t")
     enc = vb.encode_ids(t, ["doc_id"], "t", voc)
     return enc.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.size(F.filter("ids", lambda i: i == 0)).cast("long").alias("n_unknown"),

@@ -7,7 +7,7 @@ SQL so that the oracle is an independent computation of the same definition.
 from __future__ import annotations
 
 from ..functions.text import BASIC_ENGLISH_RULES, STOPWORDS_EN
-from ..operators.lemma import NOUN_RULES
+from ..operators.lemma import NOUN_RULES, RARER
 
 
 def lit(s: str) -> str:
@@ -68,11 +68,12 @@ def lemma_candidates_sql(words_rel: str) -> str:
 def lemma_map_ctes(tokens_rel: str, tokens_col: str, key: str = "doc_id") -> str:
     """CTEs ex(key,pos,word), lexw(word), w(word), lemmap(word, lemma) for a token relation."""
     return f"""
-ex AS (SELECT {key}, unnest({tokens_col}) AS word, generate_subscripts({tokens_col}, 1) AS pos FROM {tokens_rel}),
-lexw AS (SELECT word FROM ex GROUP BY word HAVING count(*) >= 2),
-w AS (SELECT DISTINCT word FROM ex),
+ex AS MATERIALIZED (SELECT {key}, unnest({tokens_col}) AS word, generate_subscripts({tokens_col}, 1) AS pos FROM {tokens_rel}),
+lexw AS MATERIALIZED (SELECT word, count(*) AS freq FROM ex GROUP BY word HAVING count(*) >= 2),
+w AS MATERIALIZED (SELECT DISTINCT word FROM ex),
 cand AS ({lemma_candidates_sql('w')}),
 best AS (SELECT word, cand AS lemma,
                 row_number() OVER (PARTITION BY word ORDER BY length(cand), cpos, cand) AS rn
-         FROM cand WHERE cand IN (SELECT word FROM lexw)),
+         FROM (SELECT c.word, c.cand, c.cpos FROM cand c JOIN lexw s ON s.word = c.cand LEFT JOIN lexw o ON o.word = c.word
+               WHERE coalesce(o.freq, 0) <= {RARER} * s.freq)),
 lemmap AS (SELECT w.word, coalesce(b.lemma, w.word) AS lemma FROM w LEFT JOIN best b ON b.word = w.word AND b.rn = 1)"""

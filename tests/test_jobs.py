@@ -51,7 +51,9 @@ def test_load_mode_needs_a_saved_model(spark):
 def test_no_term_is_dropped(spark):
     df = spark.createDataFrame([(0, " ".join(f"term{i}" for i in range(5000)), 0), (1, "other words", 1)], "doc_id int, text string, label int")
     feats = md.fit_tfidf(df)
-    assert len(feats.stages[1].vocabulary) == 5002
+    assert feats.size == feats.terms.count() == 5002
+    rows = {r["doc_id"]: r["features"] for r in feats.transform(df).collect()}
+    assert len(rows[0].indices) == 5000 and len(rows[1].indices) == 2 and rows[0].size == 5002
 
 
 def test_metric_callback_partials(spark):
