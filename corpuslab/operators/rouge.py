@@ -1,17 +1,20 @@
 """ROUGE evaluation of (prediction, reference) pairs.
 
 Tokens: lower-case, every run outside [a-z0-9] is a separator.
-* ROUGE-N is relational: n-grams of both sides are exploded, counted per
-  (pair, gram) and clipped with ``least``; the pairs are hash-partitioned on
-  their key once, and every later aggregate and join reuses that partitioning.
+* ROUGE-N is a multiset intersection inside the row: the sorted n-grams of a side
+  are numbered within each run of equal ones, which makes them a set, and the two
+  sets are intersected by hash.  Nothing is exploded or shuffled.
 * ROUGE-L needs the LCS length: a pandas UDF over Arrow batches (bit-parallel).
 * ROUGE-Lsum needs the union-LCS backtrack: a pandas UDF per pair.
+All four together are one projection over tokens that are cut once.
 P = overlap / max(|pred|, 1), R = overlap / max(|ref|, 1), F = 2PR/(P+R) (0 if both 0).
 """
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,22 +51,37 @@ def _prf(overlap: Column, n_pred: Column, n_ref: Column, prefix: str) -> list:
     return [p.alias(f"{prefix}_precision"), r.alias(f"{prefix}_recall"), f.alias(f"{prefix}_fmeasure")]
 
 
+def numbered(grams: Column) -> Column:
+    """A multiset as a set: every gram with its number among the equal ones."""
+    def runs(a: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0))),
+                          lambda i: (i < F.size(a)) & ((i == 0) | (F.get(a, i) != F.get(a, F.greatest(i - 1, F.lit(0))))))
+        return let(starts, lambda s: F.flatten(F.transform(s, lambda at, j: F.transform(
+            F.sequence(F.lit(1), F.coalesce(F.get(s, j + 1), F.size(a)) - at),
+            lambda k: F.concat_ws("#", F.get(a, at), k.cast("string"))))))
+
+    return let(F.array_sort(grams), runs)
+
+
+def _overlap(p: Column, r: Column) -> Column:
+    return F.size(F.array_intersect(numbered(p), numbered(r)))
+
+
+def _cut(pairs: DataFrame, keys, pred: str, ref: str, *more) -> DataFrame:
+    """The tokens of both sides; null text has none."""
+    none = F.array().cast(T.ArrayType(T.StringType()))
+    return pairs.select(*keys, F.coalesce(rouge_tokens(pred), none).alias("_pt"), F.coalesce(rouge_tokens(ref), none).alias("_rt"), *more)
+
+
+def _n_scores(n: int, prefix: str) -> list:
+    size = lambda c: F.greatest(F.size(c) - (n - 1), F.lit(0))
+    return _prf(_overlap(ngrams(F.col("_pt"), n), ngrams(F.col("_rt"), n)), size("_pt"), size("_rt"), prefix)
+
+
 def rouge_n(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "reference", n: int = 1,
             prefix: str | None = None) -> DataFrame:
     """Clipped n-gram overlap per pair -> (keys, P, R, F)."""
-    keys = list(keys)
-    prefix = prefix or f"rouge{n}"
-    p = (pairs.repartition(*keys)
-         .select(*keys, ngrams(rouge_tokens(pred), n).alias("_pg"), ngrams(rouge_tokens(ref), n).alias("_rg")))
-    sizes = p.select(*keys, F.size("_pg").alias("_np"), F.size("_rg").alias("_nr"))
-    tagged = F.concat(F.transform("_pg", lambda g: F.struct(g.alias("g"), F.lit(1).alias("s"))),
-                      F.transform("_rg", lambda g: F.struct(g.alias("g"), F.lit(2).alias("s"))))
-    ex = p.select(*keys, F.explode_outer(tagged).alias("_t")).where(F.col("_t").isNotNull()).select(*keys, F.col("_t.g").alias("g"), F.col("_t.s").alias("s"))
-    counts = ex.groupBy(*keys, "g").agg(F.sum(F.when(F.col("s") == 1, 1).otherwise(0)).alias("cp"),
-                                        F.sum(F.when(F.col("s") == 2, 1).otherwise(0)).alias("cr"))
-    ov = counts.groupBy(*keys).agg(F.sum(F.least("cp", "cr")).alias("_ov"))
-    j = sizes.join(ov, on=keys, how="left")
-    return j.select(*keys, *_prf(F.coalesce(F.col("_ov"), F.lit(0)), F.col("_np"), F.col("_nr"), prefix))
+    return _cut(pairs, keys, pred, ref).select(*keys, *_n_scores(n, prefix or f"rouge{n}"))
 
 
 @F.pandas_udf(T.LongType())
@@ -74,18 +92,9 @@ def _lcs_len_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def rouge_l(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """LCS-based P / R / F per pair (no shuffle)."""
-    keys = list(keys)
-    t = pairs.select(*keys, rouge_tokens(pred).alias("_pt"), rouge_tokens(ref).alias("_rt"))
-    l = t.select(*keys, _lcs_len_udf("_pt", "_rt").alias("_lcs"), F.size("_pt").alias("_np"),
-                 F.size("_rt").alias("_nr"))
-    empty = (F.col("_np") == 0) | (F.col("_nr") == 0)
-    p = F.col("_lcs") / F.greatest(F.col("_np"), F.lit(1))
-    r = F.col("_lcs") / F.greatest(F.col("_nr"), F.lit(1))
-    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-    zero = F.lit(0.0)
-    return l.select(*keys, F.when(empty, zero).otherwise(p).alias("rougeL_precision"),
-                    F.when(empty, zero).otherwise(r).alias("rougeL_recall"),
-                    F.when(empty, zero).otherwise(f).alias("rougeL_fmeasure"))
+    t = _cut(pairs, keys, pred, ref)
+    return t.withColumn("_lcs", _lcs_len_udf("_pt", "_rt")).select(
+        *keys, *_prf(F.col("_lcs"), F.size("_pt"), F.size("_rt"), "rougeL"))
 
 
 _LSUM_SCHEMA = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.DoubleType()),
@@ -108,15 +117,11 @@ def rouge_lsum(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "ref
 
 def rouge_all(pairs: DataFrame, keys, pred: str = "prediction", ref: str = "reference") -> DataFrame:
     """E1-E4 F-measures per pair, one row per pair; Lsum reads T12 sentences."""
-    keys = list(keys)
-    lines = pairs.select(*keys, tx.newline_sentences(F.col(pred)).alias(pred), tx.newline_sentences(F.col(ref)).alias(ref))
-    r1 = rouge_n(pairs, keys, pred, ref, 1).select(*keys, "rouge1_fmeasure")
-    r2 = rouge_n(pairs, keys, pred, ref, 2).select(*keys, "rouge2_fmeasure")
-    rl = rouge_l(pairs, keys, pred, ref).select(*keys, "rougeL_fmeasure")
-    rs = rouge_lsum(lines, keys, pred, ref).select(*keys, "rougeLsum_fmeasure")
-    return r1.join(r2, keys).join(rl, keys).join(rs, keys).select(
-        *keys, F.col("rouge1_fmeasure").alias("rouge1"), F.col("rouge2_fmeasure").alias("rouge2"),
-        F.col("rougeL_fmeasure").alias("rougeL"), F.col("rougeLsum_fmeasure").alias("rougeLsum"))
+    t = _cut(pairs, keys, pred, ref, tx.newline_sentences(F.col(pred)).alias("_pl"), tx.newline_sentences(F.col(ref)).alias("_rl"))
+    t = t.withColumn("_lcs", _lcs_len_udf("_pt", "_rt")).withColumn("_sum", _lsum_udf("_pl", "_rl"))
+    scores = {"rouge1": _n_scores(1, "f"), "rouge2": _n_scores(2, "f"),
+              "rougeL": _prf(F.col("_lcs"), F.size("_pt"), F.size("_rt"), "f")}
+    return t.select(*keys, *[f.alias(name) for name, (_, _, f) in scores.items()], F.col("_sum.f").alias("rougeLsum"))
 
 
 def stem_words(df: DataFrame, key_cols, col: str) -> DataFrame:
@@ -168,14 +173,22 @@ def rouge_bootstrap(scores: DataFrame, key: str, cols=("rouge1", "rouge2", "roug
     """Bootstrap confidence (low / mid / high = 2.5 / 50 / 97.5 percentiles)
     of the mean F, with hash-seeded Poisson(1) resampling weights.
 
-    Replicates are generated in-stream per pair and aggregated with partial
-    (map-side) aggregation, so only ``n_samples`` rows per task are shuffled.
+    A pair's weights for all replicates are one array, and a vector aggregate adds the
+    arrays up: a task ships one array of ``n_samples * (1 + metrics)`` sums, whatever
+    the number of pairs.
     """
-    rep = scores.select(key, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("replicate"))
-    w = poisson1(uniform(F.col(key), F.col("replicate"), seed=seed))
-    rep = rep.withColumn("_w", w)
-    means = rep.groupBy("replicate").agg(
-        *[F.try_divide(F.sum(F.col(c) * F.col("_w")), F.sum("_w")).alias(c) for c in cols])
+    weights = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)),
+                          lambda r: let(uniform(F.col(key), r, seed=seed), lambda u: poisson1(u).cast("double")))
+    rep = scores.select(*[F.col(c).cast("double").alias(c) for c in cols], weights.alias("_w"))
+
+    def scaled(c: str) -> Column:
+        return F.transform("_w", lambda w: w * F.coalesce(F.col(c), F.lit(0.0)))
+
+    total = rep.select(array_to_vector(F.concat("_w", *map(scaled, cols))).alias("_v")).agg(Summarizer.sum(F.col("_v")).alias("_s"))
+    sums = total.select(vector_to_array("_s").alias("_s")).where("_s is not null")
+    at = lambda i: F.get("_s", F.col("replicate") + i * n_samples)
+    means = sums.select("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("replicate")).select(
+        *[F.try_divide(at(1 + i), at(0)).alias(c) for i, c in enumerate(cols)])
     out = []
     for c in cols:
         out.append(F.percentile(F.col(c), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias(c))

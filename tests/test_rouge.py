@@ -1,3 +1,4 @@
+import re
 import random
 
 from hypothesis import given, settings
@@ -61,3 +62,33 @@ def test_bootstrap_is_seeded(spark):
     assert a["metric"] == b["metric"]
     assert all(abs(a[k] - b[k]) < 1e-12 for k in ("low", "mid", "high"))
     assert a["low"] <= a["mid"] <= a["high"]
+
+
+def test_all_scores_in_one_pass(spark):
+    """Repeats, empty and null sides; no shuffle and one cut of the tokens."""
+    import collections
+    import random
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(40))), " ".join(rng.choice("abcd") for _ in range(rng.randrange(40))))
+            for i in range(60)] + [(100, None, "a b"), (101, "", ""), (102, "a a a", None), (103, "x" * 5 + " x#1 x", "x x 1")]
+    df = spark.createDataFrame(rows, "k long, prediction string, reference string")
+    got = {r["k"]: r for r in rg.rouge_all(df, ["k"]).collect()}
+
+    def f(p, r, n):
+        p, r = ([tuple(t[i:i + n]) for i in range(len(t) - n + 1)] for t in (re.findall("[a-z0-9]+", (x or "").lower()) for x in (p, r)))
+        o = sum((collections.Counter(p) & collections.Counter(r)).values())
+        return 2 * o / (len(p) + len(r)) if o else 0.0
+
+    for k, p, r in rows:
+        assert abs(got[k]["rouge1"] - f(p, r, 1)) < 1e-12 and abs(got[k]["rouge2"] - f(p, r, 2)) < 1e-12
+    plan = rg.rouge_all(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "explode" not in plan
+
+
+def test_bootstrap_ships_sums_not_replicates(spark):
+    df = spark.range(500).select("id", (F.col("id") % 7 / 7.0).alias("rouge1"))
+    out = rg.rouge_bootstrap(df, "id", cols=("rouge1",), n_samples=200)
+    r = out.first()
+    assert r["low"] < r["mid"] < r["high"] and abs(r["mid"] - 0.4274) < 0.05
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2                 # the replicates and the metrics of one row of sums
