@@ -19,11 +19,14 @@ from pyspark.ml.classification import (LogisticRegression, LogisticRegressionMod
 from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.hashing import order_key
+from ..session import cut_lineage
 from . import features as fe
 from . import metrics as me
 
@@ -191,6 +194,132 @@ def run(train: DataFrame | None, test: DataFrame, model_path: str | None = None,
     return model.score(test, [key])
 
 
+# -- epochs, kept and reloaded ------------------------------------------------------
+LOG = "run string, epoch long, split string, step long, loss double, correct long, n long"
+
+
+def _sgd(batches, w: np.ndarray, b: float, lr: float):
+    """One pass of logistic SGD: yields (loss, correct, rows) before each update, then the parameters."""
+    for x, y in batches:
+        z = np.clip(x @ w + b, -500, 500)
+        p = 1 / (1 + np.exp(-z))
+        yield float(np.mean(np.logaddexp(0, z) - y * z)), int(((p > 0.5) == y).sum()), len(y)
+        w -= lr * (x.T @ (p - y)) / len(y)
+        b -= lr * float((p - y).mean())
+    yield w, b
+
+
+def _epoch(rows: DataFrame, w: np.ndarray, b: float, lr: float, batch: int, split: str) -> DataFrame:
+    """(part, step, loss, correct, n, w): the log rows of one pass over the parts of ``rows``;
+    a part's last row carries its parameters.  Every part goes on from the same ones."""
+    def work(it):
+        x, y, part, step = [], [], None, 0
+        state = [w.copy(), b]
+
+        def flush():
+            nonlocal step
+            if not y:
+                return None
+            *logs, (state[0], state[1]) = _sgd([(np.stack(x), np.asarray(y, dtype=np.float64))], state[0], state[1], lr)
+            x.clear()
+            y.clear()
+            step += 1
+            return (part, step - 1, *logs[0], None)
+
+        out, seen = [], 0
+        for pdf in it:
+            for v, label, p in zip(pdf["x"], pdf["y"], pdf["part"]):
+                part = p
+                x.append(np.asarray(v, dtype=np.float64))
+                y.append(label)
+                seen += 1
+                if len(y) == batch:
+                    out.append(flush())
+        if y:
+            out.append(flush())
+        if out:
+            part_row = (part, -1, 0.0, 0, seen, [*state[0].tolist(), state[1]])
+            yield pd.DataFrame([*out, part_row], columns=["part", "step", "loss", "correct", "n", "w"])
+
+    return rows.mapInPandas(work, "part int, step long, loss double, correct long, n long, w array<double>")
+
+
+def train_epochs(train: DataFrame, valid: DataFrame, path: str, features: str = "pooled", label: str = "label",
+                 key: str = "doc_id", epochs: int = 10, lr: float = 1e-3, batch: int = 64, parts: int = 4,
+                 seed: int = 42, run: str = "run") -> DataFrame:
+    """L5 + L11 + S9: a linear layer over dense vectors, trained for ``epochs`` passes that
+    each go on from the last one's parameters, with a log row per batch and one saved
+    version per epoch.
+
+    The rows are dealt into ``parts`` by a hash of their key and shuffled by a hash of
+    (key, epoch); every part runs mini-batch SGD on its own rows and the parts'
+    parameters are averaged by rows, so reruns agree.  Returns the training log
+    (run, epoch, split, step, loss, correct, n); versions are under ``path/epoch=k``.
+    """
+    spark = train.sparkSession
+
+    def laid(df: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+        return cut_lineage(df.select(key, F.col(features).alias("x"), F.col(label).cast("double").alias("y"), part.alias("part")))
+
+    train, valid = laid(train), laid(valid)
+    first = train.first()
+    width = len(first["x"]) if first else 0
+    w, b = np.zeros(width), 0.0
+    logs = []
+    for epoch in range(1, epochs + 1):
+        order = [F.col("part"), order_key(F.col(key), seed + epoch), F.col(key)]
+        told = cut_lineage(_epoch(train.repartition(parts, "part").sortWithinPartitions(*order), w, b, lr, batch, "train"))
+        mean = told.where("step < 0").select(array_to_vector("w").alias("w"), F.col("n").cast("double").alias("n")).agg(
+            Summarizer.mean(F.col("w"), F.col("n")).alias("m")).select(vector_to_array("m").alias("m")).first()
+        if mean is not None and mean["m"] is not None:         # one vector, whatever the number of parts
+            w, b = np.array(mean["m"][:-1]), float(mean["m"][-1])
+        ahead = cut_lineage(_epoch(valid.repartition(parts, "part").sortWithinPartitions(*order), w, b, 0.0, batch, "val"))
+        for split, rows in (("train", told), ("val", ahead)):
+            logs.append(rows.where("step >= 0").select(
+                F.lit(run).alias("run"), F.lit(epoch).cast("long").alias("epoch"), F.lit(split).alias("split"),
+                (F.col("step") * parts + F.col("part")).alias("step"), "loss", "correct", "n"))
+        version = spark.createDataFrame([(epoch, w.tolist(), b)], "epoch long, w array<double>, b double")
+        version.write.mode("overwrite").parquet(os.path.join(path, f"epoch={epoch}"))
+    log = spark.createDataFrame([], LOG)
+    for part in logs:
+        log = log.unionByName(part)
+    return cut_lineage(log)
+
+
+def best_epoch(log: DataFrame, run: str = "run") -> int:
+    """W4 over A8: the last epoch whose validation loss is below all earlier ones."""
+    best = me.best_checkpoints(log.where(F.col("run") == run), loss="loss_mean").where("is_best")
+    return best.agg(F.max("epoch")).first()[0]
+
+
+def load_version(spark: SparkSession, path: str, epoch: int) -> tuple[np.ndarray, float]:
+    """The parameters saved after an epoch; fails if there are none."""
+    row = spark.read.parquet(os.path.join(path, f"epoch={epoch}")).first()
+    return np.array(row["w"], dtype=np.float64), float(row["b"])
+
+
+def binary_predict_fn(w: np.ndarray, b: float):
+    """Factory for ``predict_batch_udf``: [P(0), P(1)] of a fitted linear layer or logistic
+    regression.  The parameters are the artefact: they reach a worker once, with the function."""
+    def make():
+        def predict(x: np.ndarray) -> np.ndarray:
+            p = 1 / (1 + np.exp(-(x @ w + b)))
+            return np.stack([1 - p, p], axis=1)
+        return predict
+    return make
+
+
+def fitted_predict_fn(model: LogisticRegressionModel):
+    """The batch predictor of a fitted or loaded binary model of Spark ML over dense features."""
+    if model.numClasses != 2:
+        raise ValueError("a binary model is needed")
+    if model.coefficientMatrix.numRows == 2:                   # multinomial form: one row per class
+        m, c = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        return binary_predict_fn(m[1] - m[0], float(c[1] - c[0]))
+    return binary_predict_fn(model.coefficients.toArray(), float(model.intercept))
+
+
 def make_linear_predict_fn(weights, bias):
     """Factory for ``predict_batch_udf``: softmax(W x + b) over a numpy batch."""
     w = np.asarray(weights, dtype=np.float64)

@@ -8,7 +8,7 @@ inside one bucket.  No task ever sees more than one bucket, so a hot partition
 group (say one class holding a third of all rows) is still spread over many
 buckets and many tasks.
 
-W1 (batch offsets), W6 (batch assignment) and W7 (ordinal re-index) sit on it.
+W1 (batch offsets) and W6 (batch assignment) sit on it; W7 is a rank minus one.
 """
 
 from __future__ import annotations
@@ -94,12 +94,6 @@ def range_rank(df: DataFrame, order: list, rank_col: str = "rank", start: int =
             .drop("_rp", "_ro"))
 
 
-def with_ordinal(df: DataFrame, key_col: str, seed: int, ordinal_col: str = "ordinal") -> DataFrame:
-    """Dense 0-based position after a seeded shuffle; the old key stays a column."""
-    return (hash_rank(df, key_col, seed, rank_col="_r")
-            .withColumn(ordinal_col, F.col("_r") - 1).drop("_r"))
-
-
 def assign_batches(df: DataFrame, key_col: str, batch_size: int, seed: int | None = 42,
                    batch_col: str = "batch_id") -> DataFrame:
     """batch = (rank-1) // B over a seeded shuffle (or key order when seed is None).
@@ -123,23 +117,32 @@ def batch_offsets(df: DataFrame, length_col: str, batch_col: str = "batch_id",
     return df.withColumn(offset_col, F.coalesce(F.sum(length_col).over(w), F.lit(0)).cast("long"))
 
 
-def running_total(df: DataFrame, value_cols: list, partition_cols: list, order_col: str,
-                  bucket_width: int, suffix: str = "_cum") -> DataFrame:
+def running_total(df: DataFrame, value_cols: list, partition_cols: list, order_col: str, suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``value_cols`` per partition group, ordered by ``order_col``.
 
-    Two-level like ``two_level_rank``: sums per (group, order_col // width) bucket,
-    exclusive prefix over the (small) bucket table, then a window inside one bucket.
-    ``order_col`` must be unique within a group.
+    Rows are range-partitioned by (group, order) once and materialised, so however many
+    rows a group has and whatever its steps look like, every task gets a fair share.
+    Inside a range a window sums the rows of each group; only the group that a range
+    begins with can have rows before it, so the sums carried across borders are one row
+    per range at most (broadcast: bounded by the number of partitions).
+    ``order_col`` must be unique within a group; nulls form a group of their own.
     """
-    b = df.withColumn("_rb", F.floor(F.col(order_col) / F.lit(bucket_width)))
-    sums = b.groupBy(*partition_cols, "_rb").agg(*[F.sum(c).alias(f"_s_{c}") for c in value_cols])
-    wo = Window.partitionBy(*partition_cols).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(*partition_cols, "_rb",
-                       *[F.coalesce(F.sum(f"_s_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
-                         for c in value_cols])
-    j = b.join(offs, on=[*partition_cols, "_rb"], how="inner")
-    wi = (Window.partitionBy(*partition_cols, "_rb").orderBy(order_col)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = [F.col(c).asc() for c in partition_cols]
+    laid = cut_lineage(df.repartitionByRange(parts, *group, F.col(order_col).asc()).withColumn("_rp", F.spark_partition_id()))
+    sums = laid.groupBy("_rp", *partition_cols).agg(*[F.sum(c).alias(f"_s_{c}") for c in value_cols])
+    before = Window.partitionBy(*partition_cols).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_cols)]
+    carried = (sums.withColumn("_n", F.count(F.lit(1)).over(before))
+               .select("_n", F.col("_rp").alias("_cp"), *named, *[F.sum(f"_s_{c}").over(before).alias(f"_o_{c}") for c in value_cols])
+               .where(F.col("_n") > 0).drop("_n"))
+    on = F.col("_rp") == F.col("_cp")
+    for i, c in enumerate(partition_cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inside = (Window.partitionBy("_rp", *partition_cols).orderBy(order_col)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    j = laid.join(F.broadcast(carried), on, "left")
     for c in value_cols:
-        j = j.withColumn(f"{c}{suffix}", F.sum(c).over(wi) + F.col(f"_o_{c}"))
-    return j.drop("_rb", *[f"_o_{c}" for c in value_cols])
+        zero = F.lit(0).cast(carried.schema[f"_o_{c}"].dataType)
+        j = j.withColumn(f"{c}{suffix}", F.sum(c).over(inside) + F.coalesce(F.col(f"_o_{c}"), zero))
+    return j.select(*df.columns, *[f"{c}{suffix}" for c in value_cols])

@@ -80,3 +80,54 @@ def test_row_slice_and_head(spark):
     keys = sorted(r["k"] for r in df.collect())
     assert sorted(r["k"] for r in split.row_slice(df, 5, 12, [F.col("k").asc()]).collect()) == keys[5:12]
     assert [r["k"] for r in split.head(df, 3, [F.col("k").asc()]).collect()] == keys[:3]
+
+
+def _points(spark, n, flip, start=0):
+    import random
+    rng = random.Random(n + start)
+    rows = []
+    for i in range(start, start + n):
+        y = rng.randrange(2)
+        rows.append((i, [rng.gauss(2.0 * y - 1, 0.5), rng.gauss(0, 1)], y if rng.random() > flip else 1 - y))
+    return spark.createDataFrame(rows, "doc_id long, pooled array<double>, label int")
+
+
+def test_the_best_epoch_is_kept(spark):
+    """Trained on labels that are opposite to the validation side's: the first epoch is the
+    best, and it is what comes back."""
+    path = tempfile.mkdtemp(prefix="corpuslab-epochs-")
+    train, valid = _points(spark, 400, 1.0), _points(spark, 100, 0.0, start=1000)
+    log = md.train_epochs(train, valid, path, epochs=4, lr=0.5, batch=32)
+    assert md.best_epoch(log) == 1
+    per = {(r["epoch"], r["split"]): r for r in md.me.epoch_metrics(log).collect()}
+    assert per[4, "val"]["loss_mean"] > per[1, "val"]["loss_mean"] and per[4, "train"]["loss_mean"] < per[1, "train"]["loss_mean"]
+    assert per[1, "train"]["rows"] == 400 and per[2, "val"]["rows"] == 100
+    (w1, _), (w4, _) = (md.load_version(spark, path, e) for e in (1, 4))
+    assert abs(w4[0]) > abs(w1[0]) > 0
+    again = md.train_epochs(train.repartition(3), valid, tempfile.mkdtemp(), epochs=4, lr=0.5, batch=32)
+    key = ["epoch", "split", "step", "loss", "correct", "n"]
+    assert sorted(map(tuple, log.select(key).collect())) == sorted(map(tuple, again.select(key).collect()))
+
+
+def test_epochs_learn_and_empty_sides(spark):
+    path = tempfile.mkdtemp(prefix="corpuslab-epochs-")
+    train, valid = _points(spark, 600, 0.0), _points(spark, 200, 0.0, start=1000)
+    log = md.train_epochs(train, valid, path, epochs=5, lr=0.5, batch=32)
+    assert md.best_epoch(log) == 5
+    w, b = md.load_version(spark, path, 5)
+    scored = md.batch_score(valid, "pooled", md.binary_predict_fn(w, b), 2, 2)
+    assert scored.where("prediction = label").count() > 190
+    assert md.train_epochs(train, valid.limit(0), tempfile.mkdtemp(), epochs=1).where("split = 'val'").count() == 0
+
+
+@pytest.mark.parametrize("family", ["multinomial", "binomial"])
+def test_batch_scores_equal_the_models_own(spark, family):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    df = md.pooled_vector(_points(spark, 300, 0.1))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpuslab-model-"), "m")
+    LogisticRegression(featuresCol="pooled_vec", labelCol="label", family=family).fit(df).write().save(path)
+    model = md.LogisticRegressionModel.load(path)
+    own = {r["doc_id"]: r["p"] for r in model.transform(df).select("doc_id", vector_to_array("probability").alias("p")).collect()}
+    got = {r["doc_id"]: r["probs"] for r in md.batch_score(df, "pooled", md.fitted_predict_fn(model), 2, 2).collect()}
+    assert own.keys() == got.keys() and all(abs(a - b) < 1e-9 for k in own for a, b in zip(own[k], got[k]))

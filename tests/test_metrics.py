@@ -28,3 +28,22 @@ def test_best_checkpoints(spark):
     assert best == {1: True, 2: True, 3: False, 4: True}
     top = me.top_checkpoints(log).first()
     assert top["epoch"] == 4
+
+
+def test_running_totals_over_sparse_steps(spark):
+    """One run holds most rows, with steps all over 64 bits; others have a few rows or a null name."""
+    import random
+    from itertools import accumulate
+
+    from corpuslab.operators.rank import running_total
+    rng = random.Random(3)
+    rows = [("hot", s, rng.randrange(100)) for s in {rng.randrange(-2 ** 62, 2 ** 62) for _ in range(5000)}]
+    rows += [(None, s, 1) for s in range(10)] + [(f"r{i}", i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "run string, step long, n long")
+    out = running_total(df, ["n"], ["run"], "step")
+    assert out.columns == ["run", "step", "n", "n_cum"]
+    got = {(r["run"], r["step"]): r["n_cum"] for r in out.collect()}
+    for run in {r[0] for r in rows}:
+        own = sorted((s, n) for k, s, n in rows if k == run)
+        assert [got[run, s] for s, _ in own] == list(accumulate(n for _, n in own))
+    assert len(got) == len(rows)

@@ -67,6 +67,6 @@ def test_batches_and_offsets(spark):
 def test_running_total_two_level(spark):
     df = spark.createDataFrame([("a", i, 1) for i in range(100)] + [("b", i, 2) for i in range(10)],
                                "run string, step long, v long")
-    r = rank.running_total(df, ["v"], ["run"], "step", bucket_width=7).collect()
+    r = rank.running_total(df, ["v"], ["run"], "step").collect()
     got = {(x["run"], x["step"]): x["v_cum"] for x in r}
     assert got[("a", 99)] == 100 and got[("a", 0)] == 1 and got[("b", 9)] == 20
