@@ -3,11 +3,11 @@
 Every paragraph (text between newlines) hashes to a wide vector:
 
 * ``EXACT`` lanes of 64 bits from the paragraph's own digest, and
-* ``NEAR`` lanes of 16 bits: the sum over the paragraph's word triples (the
+* ``NEAR`` lanes of 32 bits: the sum over the paragraph's word triples (the
   whole paragraph where it has fewer words) of +1 or -1, drawn by the triple's
   hash.
 
-A document's fingerprint is the lane-wise sum modulo 2 ** 64 and 2 ** 16 over
+A document's fingerprint is the lane-wise sum modulo 2 ** 64 and 2 ** 32 over
 its paragraphs.  Sums commute, so paragraph order does not matter, and a
 paragraph is inserted or deleted by adding or subtracting its vector.  Equal
 fingerprints mean equal paragraph multisets up to a 512-bit collision; the
@@ -16,7 +16,8 @@ texts is shared.
 
 Contract: a null text is the empty text, which is one empty paragraph; texts of
 any length are hashed whole in bounded slices; repeated rows each get their
-fingerprint; an empty table gives an empty table.
+fingerprint; an empty table gives an empty table; only the two named columns are
+read, so other columns may have any name.  A near lane holds 2 ** 31 equal triples.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _near(hashes: np.ndarray) -> np.ndarray:
-    """Sum of the signed lanes of the hashed features, modulo 2 ** 16."""
+    """Sum of the signed lanes of the hashed features, modulo 2 ** 32."""
     total = np.zeros(NEAR, dtype=np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = hashes[at:at + BLOCK]
@@ -74,7 +75,7 @@ def _near(hashes: np.ndarray) -> np.ndarray:
             bits[:, k] = _mix(part, k)
         ones = np.unpackbits(bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
         total += 2 * ones - len(part)
-    return (total & 0xFFFF).astype(np.uint16)
+    return (total & 0xFFFFFFFF).astype(np.uint32)
 
 
 def _features(paragraphs: list[str], words: WordHashes) -> np.ndarray:
@@ -129,19 +130,19 @@ def delete(fp, paragraph: str):
 
 
 def to_hex(fp) -> str:
-    return fp[0].astype("<u8").tobytes().hex() + fp[1].astype("<u2").tobytes().hex()
+    return fp[0].astype("<u8").tobytes().hex() + fp[1].astype("<u4").tobytes().hex()
 
 
 def from_hex(text: str):
     raw = bytes.fromhex(text)
-    return np.frombuffer(raw[:8 * EXACT], dtype="<u8").copy(), np.frombuffer(raw[8 * EXACT:], dtype="<u2").copy()
+    return np.frombuffer(raw[:8 * EXACT], dtype="<u8").copy(), np.frombuffer(raw[8 * EXACT:], dtype="<u4").copy()
 
 
 def likeness(a, b) -> float:
     """1 for equal fingerprints, else the cosine of the near lanes, 0 at least."""
     if np.array_equal(a[0], b[0]):
         return 1.0
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     norm = np.sqrt((x @ x) * (y @ y))
     return float(min(1.0, max(0.0, x @ y / norm))) if norm else 0.0
 

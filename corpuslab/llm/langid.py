@@ -18,8 +18,10 @@ rows lie, never above ``max_threshold``.
 
 Contract: null text or text without a letter is ``und`` with score 0 and is
 rejected; without any labelled row every text is ``und``; every whole text is
-scored; rows keep their multiplicity and order does not matter; input columns
-named like an output column are replaced.
+scored; rows keep their multiplicity and order does not matter; of classes with
+the same score the first by code point is predicted; a model has at most
+``max_classes`` languages (more are an error); input columns named like an output
+column, or ``_lid``, are replaced.
 """
 
 from __future__ import annotations
@@ -112,7 +114,8 @@ def text_counts(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def training_sample(df: DataFrame, key_col: str, text_col: str, lang_col: str, p: LangParams) -> pa.Table:
     """Feature counts of at most about ``per_class`` hash-chosen rows of each
     language (a share of them where there are more), as columns key, lang, rows,
-    counts.  The share comes from a count over all labelled rows."""
+    counts.  The share comes from a count over all labelled rows; a row's draw is a
+    hash of its key and text, so rows of one key, or without one, are drawn one by one."""
     labelled = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(key_col).cast("string").alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = labelled.groupBy("lang").count().limit(p.max_classes + 1).collect()
@@ -120,10 +123,10 @@ def training_sample(df: DataFrame, key_col: str, text_col: str, lang_col: str, p
         raise ValueError(f"more than {p.max_classes} languages")
     if not sizes:
         return pa.table({"key": [], "lang": [], "rows": [], "counts": []})
-    draw = F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit(p.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), "text", F.lit(p.seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, p.per_class / r["count"]))]),
                          F.col("lang"))
-    chosen = labelled.where(draw < share)
+    chosen = labelled.where(draw < share).dropDuplicates(["key", "lang", "text"])   # equal rows share a draw
     bits = p.bits
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,14 +6,17 @@ rows are sorted by hash, document (descending) and position, and streamed: the
 first occurrence of a hash in a document counts the document, and the first of
 all names the largest document.  A range is also salted by document, so a line
 that a third of all documents share is streamed by many tasks; their counts
-(one row per hash and salt) are then added up.
+(one row per hash and salt) are then added up.  The hashed lines are written once
+to the shared folder: the texts are split and hashed a single time.
 
 Lines that go are returned as run-length bitmaps, one per document, and applied
 to the text where it is needed.
 
-Contract: a null or empty text is one empty line; every row is a document; rows
-with the same key and text get the same bitmap; a null key is smaller than any
-other; an empty table stays empty; extra columns pass through ``apply_bitmaps``.
+Contract: a null or empty text is one empty line; the rows of one key are one
+document, however many texts it has, and lose or keep their lines together; a row
+without a key is a document of its own text, smaller than any other; rows with the
+same key and text get the same bitmap; an empty table stays empty; extra columns
+pass through ``apply_bitmaps``.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import let
+from ..session import cut_lineage
 from .words import BLANKS, ascii_lower
 
 MIN_CHARS = 40
@@ -54,13 +58,14 @@ def hashed_lines(df: DataFrame, key_col: str, text_col: str, min_chars: int) ->
 def dropped_lines(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                   min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, body, pos) of every line that goes."""
-    lines = hashed_lines(df, key_col, text_col, min_chars)
+    lines = cut_lineage(hashed_lines(df, key_col, text_col, min_chars))
+    own = F.when(F.col("doc").isNull(), F.col("body"))         # tells rows without a key apart
     ranged = (lines.withColumn("range", F.shiftrightunsigned("h1", 64 - RANGE_BITS))
-              .withColumn("salt", F.pmod(F.xxhash64("doc", "body"), F.lit(SALTS)).cast("int"))
+              .withColumn("salt", F.pmod(F.xxhash64(F.col("doc"), own), F.lit(SALTS)).cast("int"))
               .repartition("range", "salt"))
     stream = Window.partitionBy("range", "salt", "h1", "h2").orderBy(F.col("doc").desc_nulls_last(), "body", "pos")
-    seen = ranged.withColumn("prev", F.lag(F.struct("doc", "body")).over(stream))
-    new_doc = F.col("prev").isNull() | ~F.struct("doc", "body").eqNullSafe(F.col("prev"))
+    seen = ranged.withColumn("prev", F.lag(F.struct(F.col("doc"), own.alias("own"))).over(stream))
+    new_doc = F.col("prev").isNull() | ~F.struct(F.col("doc"), own.alias("own")).eqNullSafe(F.col("prev"))
     first = seen.where(new_doc).groupBy("range", "salt", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"),
                                                                          F.max("doc").alias("top"))
     common = (first.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))

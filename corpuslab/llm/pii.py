@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import let
 from ..session import cut_lineage
 from .bitmap import bitmap_filter
-from .words import words
+from .words import BLANKS, words
 
 # The base patterns of the contract.  The quantifiers are made
 # possessive and a match may only begin where a run begins (or where the last
@@ -55,7 +55,7 @@ _BLANK = r"\x20\x09-\x0D"
 _WORD = rf"[^{_BLANK}0-9@]*+[0-9@][^{_BLANK}]*+"
 CANDIDATE = rf"(?<![^{_BLANK}]){_WORD}(?:\x20{_WORD})*+"
 KEY = r"^[\"'(\[{<]*([A-Za-z][A-Za-z0-9_.-]*[=:])"
-CONTEXT_CHARS = 80
+NEAR_CHARS = 80            # characters in which context words are looked for first
 MIN_DIGITS = 2
 MIN_ALNUM = 5
 MIN_INSTANCES = 3
@@ -142,6 +142,23 @@ def _spans_of(text: Column, kind: str) -> Column:
         F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
 
 
+def _last_words(gap: Column) -> tuple[Column, Column]:
+    """The last word of a text and the one before it, lower-cased; "" where there is none.
+    Mostly they stand in its last characters; where one of them may begin earlier, the
+    whole text is looked at."""
+    near = F.substring(gap, F.lit(-NEAR_CHARS), F.lit(NEAR_CHARS))
+    whole = F.char_length(gap) <= NEAR_CHARS
+    both = rf"[{_BLANK}][^{_BLANK}]+[{_BLANK}]+[^{_BLANK}]+[{_BLANK}]*$"
+    plain = F.rtrim(F.translate(gap, BLANKS, " " * len(BLANKS)))
+    far_last = F.substring_index(plain, " ", -1)
+    rest = F.rtrim(F.substring(plain, F.lit(1), F.char_length(plain) - F.char_length(far_last)))
+    seen = whole | near.rlike(both)
+    last = F.when(seen, F.regexp_extract(near, rf"([^{_BLANK}]+)[{_BLANK}]*$", 1)).otherwise(far_last)
+    before = F.when(seen, F.regexp_extract(near, rf"([^{_BLANK}]+)[{_BLANK}]+[^{_BLANK}]+[{_BLANK}]*$", 1)).otherwise(
+        F.substring_index(rest, " ", -1))
+    return F.lower(last), F.lower(before)
+
+
 def candidates(text: Column) -> Column:
     """array<struct<start, end, instance, word, pair, key>> of identifier-like runs."""
     def one(m: Column) -> Column:
@@ -150,10 +167,8 @@ def candidates(text: Column) -> Column:
         lead = F.char_length(F.regexp_extract(F.substring(token, F.char_length(F.regexp_extract(token, KEY, 0)) + 1,
                                                           F.char_length(token)), r"^[\"'(\[{<]*", 0))
         skip = F.char_length(F.regexp_extract(token, KEY, 0)) + lead
-        tail = F.char_length(F.regexp_extract(F.substring(token, F.lit(-40), F.lit(40)), r"[\"')\]}>.,;:!?]*$", 0))
-        near = F.lower(F.substring(m["gap"], F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS)))
-        last = F.regexp_extract(near, rf"([^{_BLANK}]+)[{_BLANK}]*$", 1)
-        before = F.regexp_extract(near, rf"([^{_BLANK}]+)[{_BLANK}]+[^{_BLANK}]+[{_BLANK}]*$", 1)
+        tail = F.char_length(token) - F.char_length(F.rtrim(token, F.lit("\"')]}>.,;:!?")))
+        last, before = _last_words(m["gap"])
         return F.struct((m["start"] + skip).alias("start"), (m["end"] - tail).alias("end"),
                         F.lower(F.substring(token, skip + 1, F.char_length(token) - skip - tail)).alias("instance"),
                         last.alias("word"), before.alias("before"), F.lower(key).alias("key"))

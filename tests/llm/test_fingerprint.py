@@ -8,6 +8,8 @@ from corpuslab.llm import fingerprint as fp
 from corpuslab.llm.queries import QUERIES
 from tests.conftest import SMALL
 
+from . import brute
+
 
 def of(text):
     return fp.text_vector(text, fp.WordHashes())
@@ -42,6 +44,11 @@ def test_long_text_in_blocks():
         fp.BLOCK = fp_block
 
 
+def test_lanes_do_not_wrap():
+    """Tens of thousands of equal triples are like more of the same."""
+    assert fp.likeness(of("same old words " * 40_000), of("same old words " * 20_000)) > 0.99
+
+
 def expected(rows):
     order = sorted(rows, key=lambda r: -r[0])
     out = {}
@@ -49,7 +56,9 @@ def expected(rows):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
         half = len(t) // 2
         new = t[:len(t) - half] + nxt[:half]
-        out[k] = (len(t), hashlib.sha256(new.encode()).hexdigest(), fp.likeness(of(t), of(new)), fp.likeness(of(t), of(nxt)))
+        a, b, c = (brute.fingerprint(x) for x in (t, new, nxt))
+        out[k] = (len(t), hashlib.sha256(new.encode()).hexdigest(), brute.fingerprint_hex(a), brute.fingerprint_hex(b),
+                  brute.likeness(a, b), brute.likeness(a, c))
     return out
 
 
@@ -57,15 +66,15 @@ def check(rows, source):
     want = expected(source)
     assert len(rows) == len(want)
     for r in rows:
-        n, sha, near_edited, near_next = want[r["doc_id"]]
-        assert (r["n_chars"], r["edited_sha256"]) == (n, sha)
+        *texts, near_edited, near_next = want[r["doc_id"]]
+        assert [r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]] == texts
         assert r["near_edited"] == pytest.approx(near_edited) and r["near_next"] == pytest.approx(near_next)
 
 
 def test_query(spark):
     rows = QUERIES["op7_fingerprint"](spark, SMALL).collect()
     src = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
-    check(rows, src)
+    assert len(rows) == len(src)
     by_text = {}
     for k, t in src:
         by_text.setdefault(t, set()).add(next(r["fingerprint"] for r in rows if r["doc_id"] == k))
@@ -75,7 +84,9 @@ def test_query(spark):
 
 def test_sparse_keys_nulls_and_empties(spark, make_docs, table_dir):
     rng = random.Random(6)
-    rows = [(rng.randrange(-10**12, 10**12), None if i % 7 == 0 else "" if i % 7 == 1 else f"text é {i} " * (i % 5 + 1))
+    prose = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(200))
+    rows = [(10 ** 13, prose), (10 ** 13 + 1, prose + "\nmore of it\n\n" + prose[:300])]
+    rows += [(rng.randrange(-10**12, 10**12), None if i % 7 == 0 else "" if i % 7 == 1 else f"text é {i} " * (i % 5 + 1))
             for i in range(300)]
     check(QUERIES["op7_fingerprint"](spark, table_dir(make_docs(rows))).collect(), rows)
     check(QUERIES["op7_fingerprint"](spark, table_dir(make_docs(rows[:1]))).collect(), rows[:1])

@@ -45,5 +45,15 @@ def test_no_labels(spark, make_docs):
     assert {(r["lang_pred"], r["score"]) for r in langid.predict(df, None).collect()} == {("und", 0.0)}
 
 
+def test_the_sample_is_bounded_whatever_the_keys(spark, make_docs):
+    """Null and equal keys are drawn row by row, and copies of one row count once."""
+    words = ["the", "of", "and", "der", "und", "thing"]
+    rows = [(None if i % 2 else 7, " ".join(words[(i >> k) % 6] + str(i) for k in range(8)), "en", "s", 0) for i in range(3000)]
+    rows += [(None, "one text that is there very often", "en", "s", 0)] * 2000
+    p = langid.LangParams(per_class=300)
+    n = langid.training_sample(make_docs(rows), "doc_id", "text", "lang", p).num_rows
+    assert 100 < n < 500
+
+
 def test_empty_table(spark, make_docs):
     assert langid.train(make_docs([])) is None

@@ -99,6 +99,19 @@ def test_line_dedup_keeps_columns_and_repeated_rows(spark, make_docs):
     assert linededup.dedup_lines(make_docs([])).count() == 0
 
 
+def test_lines_of_repeated_and_missing_keys(spark, make_docs):
+    """Rows of one key are one document; rows without a key are documents of their own texts."""
+    line = "a line of more than forty characters, which documents share"
+    rows = [(1, line), (2, line), (3, line + "\nx"), (3, line + "\ny"), (3, "z\n" + line)]
+    kept = lambda rows: sorted((str(r["doc_id"]), r["text"], r["n_dropped"]) for r in linededup.dedup_lines(make_docs(rows)).collect())
+    assert all(n == 0 for *_, n in kept(rows))                 # three documents hold it
+    rows += [(4, line), (5, line)]
+    assert {(k, n) for k, _, n in kept(rows)} == {("1", 1), ("2", 1), ("3", 1), ("4", 1), ("5", 0)}
+    missing = [(None, f"{line}\n{i}") for i in range(4)]
+    assert all(n == 0 for *_, n in kept(missing + [(None, line + "\n0")]))
+    assert {(k, n) for k, _, n in kept(missing + [(7, line)])} == {("None", 1), ("7", 0)}
+
+
 def test_bitmap_runs(spark):
     df = spark.createDataFrame([(1, 0, p) for p in (0, 1, 2, 5, 7, 8)], "doc long, body long, pos int")
     assert [tuple(x) for x in linededup.bitmaps(df).first()["runs"]] == [(0, 3), (5, 1), (7, 2)]

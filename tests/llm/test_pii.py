@@ -62,6 +62,22 @@ def test_bootstrapping_discovers_by_context(spark, make_docs, table_dir):
     assert {k: v for k, v in added.items() if v} == {20: ["AB12-9911-77"], 21: ["AB12-9911-77"]}
 
 
+@pytest.mark.parametrize("length", [11, 79, 80, 81, 92, 300])
+def test_context_words_of_any_length(spark, make_docs, table_dir, length):
+    """Long context words teach and find like short ones, as the last and as the last but one."""
+    rng = random.Random(length)
+    mark = "q" * (length - 4) + "mark"
+    texts = {i: f"{words(rng, 9)} {mark} mail{i}@bank.example.org {words(rng, 6)}" for i in range(6)}
+    texts |= {20 + i: f"{words(rng, 9)} {mark} \t of{i}x mail{i}@bank.example.org {words(rng, 6)}" for i in range(6)}
+    texts[40] = f"{words(rng, 9)} {mark} ZX04-5512 {words(rng, 6)}"
+    texts[41] = f"{words(rng, 9)} see AB04-5513{')' * 60} {words(rng, 6)}"
+    texts |= {50 + i: f"{words(rng, 3)} see m{i}@x.org {words(rng, 3)}" for i in range(6)}
+    rows = run(spark, table_dir, make_docs(list(texts.items())))
+    check(rows, texts)
+    found = {texts[r["doc_id"]][int(s.split(":")[1]):int(s.split(":")[2])] for r in rows for s in r["spans"].split(",") if s.startswith("id:")}
+    assert found == {"ZX04-5512", "AB04-5513"}
+
+
 def test_second_round_uses_discovered_instances(spark, make_docs, table_dir):
     rng = random.Random(3)
     ids = [f"ZX{i}04-551{i}" for i in range(4)]
