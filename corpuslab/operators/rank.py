@@ -117,8 +117,9 @@ def batch_offsets(df: DataFrame, length_col: str, batch_col: str = "batch_id",
     return df.withColumn(offset_col, F.coalesce(F.sum(length_col).over(w), F.lit(0)).cast("long"))
 
 
-def running_total(df: DataFrame, value_cols: list, partition_cols: list, order_col: str, suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``value_cols`` per partition group, ordered by ``order_col``.
+def running_total(df: DataFrame, value_cols: list, partition_cols: list, order_col, suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``value_cols`` per partition group, ordered by ``order_col``
+    (a column, or a list of columns).
 
     Rows are range-partitioned by (group, order) once and materialised, so however many
     rows a group has and whatever its steps look like, every task gets a fair share.
@@ -127,9 +128,10 @@ def running_total(df: DataFrame, value_cols: list, partition_cols: list, order_c
     per range at most (broadcast: bounded by the number of partitions).
     ``order_col`` must be unique within a group; nulls form a group of their own.
     """
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = [F.col(c).asc() for c in partition_cols]
-    laid = cut_lineage(df.repartitionByRange(parts, *group, F.col(order_col).asc()).withColumn("_rp", F.spark_partition_id()))
+    laid = cut_lineage(df.repartitionByRange(parts, *group, *[F.col(c).asc() for c in order]).withColumn("_rp", F.spark_partition_id()))
     sums = laid.groupBy("_rp", *partition_cols).agg(*[F.sum(c).alias(f"_s_{c}") for c in value_cols])
     before = Window.partitionBy(*partition_cols).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     named = [F.col(c).alias(f"_g{i}") for i, c in enumerate(partition_cols)]
@@ -139,7 +141,7 @@ def running_total(df: DataFrame, value_cols: list, partition_cols: list, order_c
     on = F.col("_rp") == F.col("_cp")
     for i, c in enumerate(partition_cols):
         on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    inside = (Window.partitionBy("_rp", *partition_cols).orderBy(order_col)
+    inside = (Window.partitionBy("_rp", *partition_cols).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     j = laid.join(F.broadcast(carried), on, "left")
     for c in value_cols:

@@ -78,6 +78,55 @@ def test_json_columns_indented_and_broken(spark):
         fl.read_json_columns(spark, base, schema).collect()
 
 
+def test_one_json_object_is_read_by_many_tasks(spark):
+    """One object of a few hundred KB with small splits: escaped quotes, backslashes, braces
+    inside strings, nested values, nulls and missing cells, on one line and indented."""
+    import json
+    import random
+    rng = random.Random(9)
+    texts = ['say "hi"', "back\\slash\\", '\\"', "{braces} [and] , : colons", "", 'tail"', "é 😀 \n\t", '\\\\"x']
+    n = 3000
+    obj = {"text": {str(i): rng.choice(texts) + str(i) if i % 11 else None for i in range(n)},
+           "x": {str(i): i / 4 for i in range(n) if i % 7}, "more": {str(i): {"a": [i, {"b": "}"}], "c": 'q"'} for i in range(0, n, 5)},
+           "empty": {}, "flag": {str(i): i % 2 == 0 for i in range(n)}}
+    schema = "text string, x double, more string, empty string, flag boolean"
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(schema)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
+    try:
+        for indent in (None, 2):
+            path = os.path.join(tempfile.mkdtemp(prefix="corpuslab-io-"), "one.json")
+            with open(path, "w") as f:
+                json.dump(obj, f, indent=indent, ensure_ascii=indent is None)
+            assert spark.read.option("lineSep", '"').text(path).rdd.getNumPartitions() > 5
+            rows = {r["row_id"]: r for r in fl.read_json_columns(spark, path, schema).collect()}
+            assert len(rows) == n
+            for i in range(n):
+                r = rows[str(i)]
+                assert (r["text"], r["x"], r["flag"]) == (obj["text"][str(i)], obj["x"].get(str(i)), i % 2 == 0)
+                more = obj["more"].get(str(i))
+                assert (json.loads(r["more"]) if r["more"] else None) == more and r["empty"] is None
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_broken_objects_fail(spark):
+    import pytest
+    schema = _labels(spark).schema
+    for text in ['[1, 2]', '{"doc_id": 3}', '{"doc_id": {"0": 1}', '{"doc_id": {"0": "x}}', '{"a": {"0": 1}} {', '"text"', '{"a": {"0": 1}, "b"}']:
+        base = tempfile.mkdtemp(prefix="corpuslab-io-")
+        with open(os.path.join(base, "b.json"), "w") as f:
+            f.write(text)
+        with pytest.raises(Exception):
+            fl.read_json_columns(spark, base, schema).collect()
+    base = tempfile.mkdtemp(prefix="corpuslab-io-")
+    for name, text in (("a", " \n"), ("b", "{}"), ("c", '{"doc_id": {}}'), ("d", '{"doc_id": {"0": 5}}')):
+        with open(os.path.join(base, f"{name}.json"), "w") as f:
+            f.write(text)
+    assert [r["doc_id"] for r in fl.read_json_columns(spark, base, schema).collect()] == [5]
+
+
 def test_range_rank_on_sparse_and_skewed_keys(spark):
     import random
 
