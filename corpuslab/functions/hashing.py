@@ -57,8 +57,8 @@ def normal_vector(key: Column, dim: int, seed: int = 42) -> Column:
         def one(d):
             h = F.element_at(hs, (F.floor(d / 4) + 1).cast("int"))
             start = (d % 4) * 16 + 1
-            u1 = (F.conv(F.substring(h, start, F.lit(8)), 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
-            u2 = (F.conv(F.substring(h, start + 8, F.lit(8)), 16, 10).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+            u1 = (F.conv(F.substring(h, start, F.lit(8)), 16, 10).cast("long") + F.lit(0.5)) / F.lit(TWO_32)
+            u2 = (F.conv(F.substring(h, start + 8, F.lit(8)), 16, 10).cast("long") + F.lit(0.5)) / F.lit(TWO_32)
             return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * 3.141592653589793) * u2)
         return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
     return let(hashes, draw)

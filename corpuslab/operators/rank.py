@@ -30,8 +30,9 @@ class Bucket:
 
 
 def two_level_rank(df: DataFrame, order: list, buckets: list, partition_cols=(),
-                   rank_col: str = "rank", broadcast_offsets: bool = False) -> DataFrame:
-    """Add ``rank_col`` = 1..n within ``partition_cols`` by ``order``.
+                   rank_col: str = "rank", broadcast_offsets: bool = False, total_col: str | None = None) -> DataFrame:
+    """Add ``rank_col`` = 1..n within ``partition_cols`` by ``order``; with ``total_col`` n
+    too, which the bucket counts give without another scan.
 
     ``order`` is a list of sort Columns (ties must be broken inside it);
     ``buckets`` a list of :class:`Bucket` whose ordering is a coarsening of
@@ -46,7 +47,8 @@ def two_level_rank(df: DataFrame, order: list, buckets: list, partition_cols=(),
     counts = b.groupBy(*part, *bnames).agg(F.count(F.lit(1)).alias("_bn"))
     border = [F.col(n).asc() if bk.ascending else F.col(n).desc() for n, bk in zip(bnames, buckets)]
     wo = Window.partitionBy(*part).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, *bnames, F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"))
+    total = [F.sum("_bn").over(Window.partitionBy(*part)).alias(total_col)] if total_col else []
+    offsets = counts.select(*part, *bnames, F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"), *total)
     if broadcast_offsets:
         offsets = F.broadcast(offsets)
     joined = b.join(offsets, on=[*part, *bnames], how="inner")
@@ -56,7 +58,7 @@ def two_level_rank(df: DataFrame, order: list, buckets: list, partition_cols=(),
 
 
 def hash_rank(df: DataFrame, key_col: str, seed: int, partition_cols=(), rank_col: str = "rank",
-              prefix_len: int = 4) -> DataFrame:
+              prefix_len: int = 4, total_col: str | None = None) -> DataFrame:
     """Rank rows by md5(key|seed) (ties by key): a reproducible shuffle.
 
     The bucket is the first ``prefix_len`` hex characters of the md5, so the
@@ -69,7 +71,7 @@ def hash_rank(df: DataFrame, key_col: str, seed: int, partition_cols=(), rank_co
         withk,
         order=[F.col("_okey").asc(), F.col(key_col).asc()],
         buckets=[Bucket(F.substring(F.col("_okey"), 1, prefix_len))],
-        partition_cols=partition_cols, rank_col=rank_col, broadcast_offsets=bounded)
+        partition_cols=partition_cols, rank_col=rank_col, broadcast_offsets=bounded, total_col=total_col)
     return out.drop("_okey")
 
 

@@ -8,8 +8,6 @@ plain SQL.  Totals (n, per-class counts) are scalar or tiny grouped aggregates.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +15,9 @@ from ..functions.hashing import order_key
 from .rank import Bucket, hash_rank, range_rank, two_level_rank
 
 
-def _count(df: DataFrame) -> Column:
-    """Row count of ``df`` as a scalar-subquery Column (one tiny job, no collect)."""
-    return df.select(F.count(F.lit(1))).scalar()
+def _ranked(df: DataFrame, key_col: str, seed: int) -> tuple[DataFrame, Column]:
+    """The seeded shuffle and the number of rows, from one scan's bucket counts."""
+    return hash_rank(df, key_col, seed, rank_col="rank", total_col="_total"), F.col("_total").cast("double")
 
 
 def shuffle(df: DataFrame, key_col: str, seed: int = 42, rank_col: str = "rank") -> DataFrame:
@@ -44,29 +42,26 @@ def fraction_split(df: DataFrame, fracs: dict, key_col: str, seed: int = 42,
     Rows that fall in no slice (only possible when the fractions sum below 1) are
     dropped, as a positional slice would.
     """
-    n = _count(df).cast("double")
-    ranked = shuffle(df, key_col, seed, rank_col="rank")
+    ranked, n = _ranked(df, key_col, seed)
     expr = None
     for name, lo, hi in cumulative_bounds(fracs):
         cond = ((F.col("rank") > F.floor(F.lit(lo) * n)) & (F.col("rank") <= F.floor(F.lit(hi) * n)))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return ranked.withColumn(split_col, expr).filter(F.col(split_col).isNotNull())
+    return ranked.withColumn(split_col, expr).filter(F.col(split_col).isNotNull()).drop("_total")
 
 
 def random_split(df: DataFrame, test_frac: float, key_col: str, seed: int = 42,
                  split_col: str = "split") -> DataFrame:
     """Unstratified hold-out; test = the first ceil(frac*n) shuffled rows."""
-    n = _count(df).cast("double")
-    ranked = shuffle(df, key_col, seed, rank_col="rank")
+    ranked, n = _ranked(df, key_col, seed)
     return ranked.withColumn(
-        split_col, F.when(F.col("rank") <= F.ceil(F.lit(test_frac) * n), "test").otherwise("train"))
+        split_col, F.when(F.col("rank") <= F.ceil(F.lit(test_frac) * n), "test").otherwise("train")).drop("_total")
 
 
 def sample_exact(df: DataFrame, frac: float, key_col: str, seed: int = 42) -> DataFrame:
     """Exactly round-half-even(frac*n) rows without replacement."""
-    n = _count(df).cast("double")
-    ranked = shuffle(df, key_col, seed, rank_col="rank")
-    return ranked.filter(F.col("rank") <= F.bround(F.lit(frac) * n, 0))
+    ranked, n = _ranked(df, key_col, seed)
+    return ranked.filter(F.col("rank") <= F.bround(F.lit(frac) * n, 0)).drop("_total")
 
 
 def sample_n(df: DataFrame, n: int, key_col: str, seed: int = 42) -> DataFrame:
@@ -150,10 +145,6 @@ def batch_counts(df: DataFrame, batch_size: int, epochs: int) -> DataFrame:
         (F.ceil(F.col("rows") / F.lit(batch_size)) * F.lit(epochs)).cast("long").alias("total_steps"))
 
 
-def ceil_count(frac: float, n: int) -> int:
-    return int(math.ceil(frac * n))
-
-
 def head(df: DataFrame, n: int, order) -> DataFrame:
     """First ``n`` rows by ``order`` for display (a top-k, no full sort)."""
     return df.orderBy(*order).limit(n)

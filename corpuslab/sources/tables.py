@@ -55,16 +55,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = reader.parquet(table_path(sf_dir, name))
     wanted = spark.conf.get(INPUT_PARTITIONS, None)
     return df.repartition(int(wanted)) if wanted and name in TEXT_TABLES else df
-
-
-def load_tables(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
-    """The page/document tables that replace per-row fetching."""
-    names = names or list(SCHEMAS)
-    return {n: read_table(spark, sf_dir, n) for n in names}
-
-
-def require_columns(df: DataFrame, cols) -> DataFrame:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing required columns: {missing}")
-    return df
