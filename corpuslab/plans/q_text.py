@@ -152,7 +152,21 @@ def rouge_2(spark, sf):
     return _rn(spark, sf, 2)
 
 
-@query("rouge_l", ops="E3", sql=None)
+ROUGE_L_SQL = f"""
+WITH {PAIRS_SQL},
+tok AS (SELECT conv_id, turn, regexp_extract_all(lower(prediction), '[a-z0-9]+') AS pt,
+               regexp_extract_all(lower(reference), '[a-z0-9]+') AS rt FROM pairs),
+m AS (SELECT *, list_prepend(list_transform(rt, lambda b: 0), list_transform(pt, lambda a: list_transform(rt, lambda b: CASE WHEN a = b THEN 1 ELSE 0 END))) AS steps
+      FROM tok),
+l AS (SELECT *, coalesce(list_max(list_reduce(steps, lambda row, hit: list_transform(
+             [list_transform(range(1, len(row) + 1), lambda k: greatest(row[k], CASE WHEN hit[k] = 1 THEN 1 + (CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END) ELSE 0 END))],
+             lambda best: list_transform(range(1, len(best) + 1), lambda j: list_max(best[1:j])))[1])), 0) AS lcs FROM m),
+s AS (SELECT conv_id, turn, lcs / greatest(len(pt), 1) AS p, lcs / greatest(len(rt), 1) AS r FROM l)
+SELECT conv_id, turn, round(1e-10 + p, 6) AS rougeL_precision, round(1e-10 + r, 6) AS rougeL_recall,
+       round(1e-10 + CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS rougeL_fmeasure FROM s"""
+
+
+@query("rouge_l", ops="E3", sql=ROUGE_L_SQL)
 def rouge_l(spark, sf):
     r = rg.rouge_l(conversation_pairs(spark, sf), ["conv_id", "turn"])
     return r.select("conv_id", "turn", *[r6(c).alias(c) for c in

@@ -38,20 +38,10 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Setting a user may give for tables whose files hold few row groups (a row group
-# is the least a task can read): scans are then repartitioned to that number.
-INPUT_PARTITIONS = "spark.corpuslab.inputPartitions"
-# Text tables whose rows carry heavy per-row work (regexes, folds, tokenising).
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one Parquet table; the declared schema skips footer inference.  The
-    plan is the scan alone, filters and column pruning reach it.  Only where the
-    user set ``spark.corpuslab.inputPartitions`` are text tables repartitioned."""
+    plan is the scan alone, filters and column pruning reach it."""
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
-    df = reader.parquet(table_path(sf_dir, name))
-    wanted = spark.conf.get(INPUT_PARTITIONS, None)
-    return df.repartition(int(wanted)) if wanted and name in TEXT_TABLES else df
+    return reader.parquet(table_path(sf_dir, name))
