@@ -40,14 +40,14 @@ def encode_ids(df: DataFrame, key_cols, tokens_col: str, vocab: DataFrame, unk_i
                out_col: str = "ids", keep_cols=()) -> DataFrame:
     """Token -> idx through a left join, unknown -> ``unk_idx``, order kept."""
     return map_tokens(df, key_cols, tokens_col, vocab, "word", "idx", out_col,
-                      default=F.lit(unk_idx).cast("long"), keep_cols=keep_cols)
+                      default=unk_idx, keep_cols=keep_cols)
 
 
 def decode_ids(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, skip_ids=(0, 1),
                out_col: str = "decoded") -> DataFrame:
     """Idx -> word by join on idx, special ids skipped, joined by one space."""
     kept = df.select(*key_cols, F.filter(F.col(ids_col), lambda i: ~i.isin(list(skip_ids))).alias("_ids"))
-    words = map_tokens(kept, key_cols, "_ids", vocab, "idx", "word", "_w", default=F.lit("<unk>"))
+    words = map_tokens(kept, key_cols, "_ids", vocab, "idx", "word", "_w", default="<unk>")
     return words.select(*key_cols, F.array_join("_w", " ").alias(out_col))
 
 

@@ -1,22 +1,21 @@
 """Per-token lookups through a word table (shared by T8, J2, T21).
 
-A text is looked up by its dictionary: the distinct words of every ``CHUNK`` tokens
-are joined to the table (AQE broadcasts it when its measured size is under the
-threshold, and splits a hot word's partition otherwise), come back to the text as one
-map per chunk, and the token array is transformed in place.  Positions never leave the
-row, a word repeated in a chunk moves once, and the token array itself moves at most
-once, by the row key.  Chunks keep the maps short, so that a text of any length costs
-a bounded number of comparisons per token.
+A text is looked up by its dictionary: its distinct words are joined to the table
+(AQE broadcasts it when its measured size is under the threshold, and splits a hot
+word's partition otherwise) and come back to the text as two arrays, words and
+values.  The token array is then mapped in place by an Arrow function, many texts at
+a time.  Positions never leave the row, a word repeated in a
+text moves once, and the token array itself moves once, by the row key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.hashing import let
-
-CHUNK = 512
+from pyspark.sql import types as T
 
 
 def explode_tokens(df: DataFrame, key_cols, tokens_col: str, keep_cols=(),
@@ -26,13 +25,9 @@ def explode_tokens(df: DataFrame, key_cols, tokens_col: str, keep_cols=(),
     return df.select(*key_cols, *keep_cols, fn(F.col(tokens_col)).alias(pos_col, token_col))
 
 
-def _chunk_numbers(tokens: Column) -> Column:
-    return F.sequence(F.lit(0), F.floor((F.greatest(F.size(tokens), F.lit(1)) - 1) / CHUNK).cast("int"))
-
-
 def map_tokens(df: DataFrame, key_cols, tokens_col: str, mapping: DataFrame, from_col: str,
-               to_col: str, out_col: str, default: Column | None = None, keep_cols=()) -> DataFrame:
-    """Replace every token by ``mapping[to_col]`` (``default`` when missing).
+               to_col: str, out_col: str, default=None, keep_cols=()) -> DataFrame:
+    """Replace every token by ``mapping[to_col]`` (``default``, a value, when missing).
 
     ``default=None`` keeps the token itself.  Rows with no tokens keep an empty array.
     ``key_cols`` name a row; ``mapping`` has one row per token.
@@ -40,22 +35,27 @@ def map_tokens(df: DataFrame, key_cols, tokens_col: str, mapping: DataFrame, fro
     keys = list(key_cols)
     tokens = F.coalesce(F.col(tokens_col), F.array().cast(df.schema[tokens_col].dataType))
     base = df.select(*keys, *keep_cols, tokens.alias("_toks"))
-
-    def chunk(c: Column) -> Column:
-        return F.slice("_toks", c * CHUNK + 1, F.lit(CHUNK))
-
-    distinct = F.flatten(F.transform(_chunk_numbers(F.col("_toks")), lambda c: F.transform(
-        F.array_distinct(chunk(c)), lambda t: F.struct(c.alias("c"), t.alias("t")))))
-    words = base.select(*keys, F.explode_outer(distinct).alias("_e")).where(F.col("_e.t").isNotNull())
-    found = (words.select(*keys, F.col("_e.c").alias("_c"), F.col("_e.t").alias("_tok"))
-             .join(mapping.select(F.col(from_col).alias("_tok"), F.col(to_col).alias("_val")), "_tok"))
-    maps = (found.repartition(*keys).groupBy(*keys, "_c")
-            .agg(F.map_from_entries(F.collect_list(F.struct("_tok", "_val"))).alias("_m"))
-            .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_m"))).alias("_ms")))
-
-    def looked(c: Column) -> Column:
-        return let(F.element_at("_ms", c), lambda m: F.transform(chunk(c), lambda t: F.coalesce(
-            F.element_at(m, t), default if default is not None else t)))
-
-    mapped = F.flatten(F.transform(_chunk_numbers(F.col("_toks")), looked))
-    return base.join(maps, keys, "left").select(*keys, *keep_cols, mapped.alias(out_col))
+    words = base.select(*keys, F.explode_outer(F.array_distinct("_toks")).alias("_tok")).where(F.col("_tok").isNotNull())
+    found = words.join(mapping.select(F.col(from_col).alias("_tok"), F.col(to_col).alias("_val")), "_tok")
+    own = found.groupBy(*keys).agg(F.collect_list(F.struct("_tok", "_val")).alias("_e"))
+
+    @F.arrow_udf(T.ArrayType(mapping.schema[to_col].dataType))
+    def looked(toks: pa.Array, known: pa.Array, values: pa.Array) -> pa.Array:
+        flat, mine = toks.flatten(), known.flatten()
+        sizes = pc.fill_null(toks.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        own_sizes = pc.fill_null(known.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        codes = pa.concat_arrays([flat, mine]).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        codes = codes.astype(np.int64)                         # a word is a number within the batch, (row, word) the key
+        width = int(codes.max()) + 1 if len(codes) else 1
+        wanted = np.repeat(np.arange(len(sizes)), sizes) * width + codes[:len(flat)]
+        there = np.repeat(np.arange(len(sizes)), own_sizes) * width + codes[len(flat):]
+        order = np.argsort(there)
+        at = np.minimum(np.searchsorted(there[order], wanted), max(len(there) - 1, 0))
+        hit = there[order][at] == wanted if len(there) else np.zeros(len(wanted), dtype=bool)
+        picked = order[at] if len(there) else np.zeros(len(wanted), dtype=np.int64)
+        got = values.flatten().take(pa.array(picked, mask=~hit))
+        got = pc.coalesce(got, flat) if default is None else pc.fill_null(got, default)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), got)
+
+    return base.join(own, keys, "left").select(
+        *keys, *keep_cols, looked("_toks", F.col("_e._tok"), F.col("_e._val")).alias(out_col))

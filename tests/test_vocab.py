@@ -38,15 +38,13 @@ def test_oov_vectors_deterministic(spark):
 
 
 def test_lookups_of_any_length(spark):
-    """Chunked dictionaries: order, repeats, unknown words, empty and null rows, and no positions in an exchange."""
-    from pyspark.sql import functions as F
-
+    """Dictionaries: order, repeats, unknown words, empty and null rows, and no positions in an exchange."""
     from corpuslab.operators import wordmap
-    n = 3 * wordmap.CHUNK + 7
-    rows = [(1, [f"w{i % 700}" for i in range(n)]), (2, []), (3, None), (4, ["zz", "w1", "zz", "w1"]), (5, ["w3"] * (2 * wordmap.CHUNK))]
+    n = 5000
+    rows = [(1, [f"w{i % 700}" for i in range(n)]), (2, []), (3, None), (4, ["zz", "w1", "zz", "w1"]), (5, ["w3"] * 900)]
     df = spark.createDataFrame(rows, "k long, t array<string>")
     table = spark.createDataFrame([(f"w{i}", i) for i in range(650)], "word string, idx long")
-    out = wordmap.map_tokens(df, ["k"], "t", table, "word", "idx", "ids", default=F.lit(-1).cast("long"))
+    out = wordmap.map_tokens(df, ["k"], "t", table, "word", "idx", "ids", default=-1)
     number = {f"w{i}": i for i in range(650)}
     assert {r["k"]: r["ids"] for r in out.collect()} == {k: [number.get(w, -1) for w in t or []] for k, t in rows}
     plan = out._jdf.queryExecution().executedPlan().toString()
