@@ -77,6 +77,18 @@ def test_words_meet_their_table_by_blocks(spark, monkeypatch):
     assert len(blocks) > 10 and max(r["n"] for r in blocks) <= 16 + 10  # the bound and one text
 
 
+def test_words_with_several_vectors(spark):
+    """A word that its table holds twice counts with each of its vectors."""
+    from corpuslab.operators import features as fe
+    df = spark.createDataFrame([(1, ["a", "a", "b", "zz"]), (2, ["b"])], "k long, t array<string>")
+    table = spark.createDataFrame([("a", [1.0, 8.0]), ("a", [3.0, 2.0]), ("b", [6.0, 4.0]), ("<unk>", [2.0, 1.0])], "word string, vec array<double>")
+    got = {how: {r["k"]: (r["n_tokens"], r["pooled"]) for r in fe.pool_vectors(fe.word_vectors(df, "k", "t", table, how), "k", how=how).collect()}
+           for how in ("mean", "max")}
+    assert got["mean"][2] == (1, [6.0, 4.0]) and got["mean"][1][0] == 6
+    assert [round(x, 9) for x in got["mean"][1][1]] == [round(16 / 6, 9), round(25 / 6, 9)]
+    assert got["max"] == {1: (6, [6.0, 8.0]), 2: (1, [6.0, 4.0])}
+
+
 def test_longest_text_is_whole(spark, tmp_path):
     """The longest text sets the length of all sequences; nothing is cut."""
     from corpuslab.plans import load_all
