@@ -1,4 +1,6 @@
+import collections
 import os
+import re
 import tempfile
 
 import pytest
@@ -40,6 +42,34 @@ def test_extractive_summary_golden(spark):
     assert got[1] == "Cats eat fish. Cats"
 
 
+def test_extractive_summary_moves_an_article_once(spark):
+    """Rows of one key are one article and each of them gets its summary; rows without a key get the empty one."""
+    rows = [(1, "One two two. Two three."), (1, "Two two two two."), (None, "Some words."), (2, "?! ... Last words. Last."), (3, "...")]
+    out = summarize.extractive_summary(spark.createDataFrame(rows, "k long, body string"), "k", min_words=5)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+    assert sorted((r["k"] or 0, r["summary"]) for r in out.collect()) == [
+        (0, ""), (1, "One two two. Two two two two."), (1, "One two two. Two two two two."), (2, "Last words. Last."), (3, "")]
+
+
+def test_extractive_summary_against_a_loop(spark):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 5} x{j % 3}{'.' if j % 4 == 3 else ''}" for j in range(3 + i % 11)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, body string").coalesce(1)
+    got = {r["k"]: r["summary"] for r in summarize.extractive_summary(df, "k", min_words=5).collect()}
+    for i, t in enumerate(texts):
+        sents = [x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]
+        cut = [re.findall("[a-z0-9]+", x.lower()) for x in sents]
+        n = collections.Counter(w for c in cut for w in c)
+        order = sorted((j for j in range(len(sents)) if cut[j]), key=lambda j: (-sum(n[w] for w in cut[j]) / len(cut[j]), j))
+        taken, have = [], 0
+        for j in order:
+            if have >= 5:
+                break
+            taken.append(j)
+            have += len(sents[j].split())
+        assert got[i] == " ".join(sents[j] for j in sorted(taken)), i
+
+
 def test_load_mode_needs_a_saved_model(spark):
     df = read_table(spark, SMALL, "documents").limit(3)
     with pytest.raises(ValueError):
