@@ -12,6 +12,8 @@ P = overlap / max(|pred|, 1), R = overlap / max(|ref|, 1), F = 2PR/(P+R) (0 if b
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.hashing import let, uniform
+from ..functions.hashing import TWO_32, let
 from ..functions.lcs import lcs_length, summary_lcs_scores
 from ..functions.stem import porter_stem
 from .wordmap import map_tokens
@@ -151,7 +153,6 @@ def rouge_corpus(scores: DataFrame, cols=("rouge1", "rouge2", "rougeL", "rougeLs
 
 # Poisson(1) inverse CDF thresholds: P(K <= k) for k = 0..11 (fixed values, e^-1 * sum 1/j!).
 def _poisson1_cdf(kmax: int = 11) -> list:
-    import math
     out, acc = [], 0.0
     for k in range(kmax + 1):
         acc += math.exp(-1.0) / math.factorial(k)
@@ -159,13 +160,14 @@ def _poisson1_cdf(kmax: int = 11) -> list:
     return out
 
 
-def poisson1(u: Column) -> Column:
-    """Poisson(1) draw from a uniform by inverse CDF."""
-    cdf = _poisson1_cdf()
-    expr = F.when(u < F.lit(cdf[0]), F.lit(0))
-    for k in range(1, len(cdf)):
-        expr = expr.when(u < F.lit(cdf[k]), F.lit(k))
-    return expr.otherwise(F.lit(len(cdf)))
+def poisson1(h: Column) -> Column:
+    """Poisson(1) draw (double) by inverse CDF of the uniform that a hex hash begins with: its
+    first 32 bits over 2 ** 32, as in ``hashing.uniform``.  Hex digits sort as their number
+    does, so the hash is compared with the CDF as it is."""
+    expr = F
+    for k, c in enumerate(_poisson1_cdf()):
+        expr = expr.when(h < F.lit(f"{math.ceil(c * TWO_32):08x}"), F.lit(float(k)))
+    return expr.otherwise(F.lit(float(len(_poisson1_cdf()))))
 
 
 def rouge_bootstrap(scores: DataFrame, key: str, cols=("rouge1", "rouge2", "rougeL", "rougeLsum"),
@@ -175,11 +177,15 @@ def rouge_bootstrap(scores: DataFrame, key: str, cols=("rouge1", "rouge2", "roug
 
     A pair's weights for all replicates are one array, and a vector aggregate adds the
     arrays up: a task ships one array of ``n_samples * (1 + metrics)`` sums, whatever
-    the number of pairs.
+    the number of pairs.  The pairs are dealt out before their draws, which are nearly all
+    of the work: a scan may have fewer tasks than there are cores.
     """
-    weights = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)),
-                          lambda r: let(uniform(F.col(key), r, seed=seed), lambda u: poisson1(u).cast("double")))
-    rep = scores.select(*[F.col(c).cast("double").alias(c) for c in cols], weights.alias("_w"))
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = F.when(F.col(key).isNull(), "").otherwise(F.concat(F.col(key).cast("string"), F.lit("|")))
+    dealt = scores.select(head.alias("_h"), *[F.col(c).cast("double").alias(c) for c in cols]).repartition(parts, "_h")
+    tails = F.split(F.lit(",".join(f"{r}|{seed}" for r in range(n_samples))), ",")     # folded into one literal array
+    weights = F.transform(F.transform(tails, lambda t: F.md5(F.concat("_h", t))), poisson1)
+    rep = dealt.select(*cols, weights.alias("_w"))
 
     def scaled(c: str) -> Column:
         return F.transform("_w", lambda w: w * F.coalesce(F.col(c), F.lit(0.0)))

@@ -92,3 +92,21 @@ def test_bootstrap_ships_sums_not_replicates(spark):
     assert r["low"] < r["mid"] < r["high"] and abs(r["mid"] - 0.4274) < 0.05
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode") == 2                 # the replicates and the metrics of one row of sums
+
+
+def test_bootstrap_draws(spark):
+    """Draws of hashes are those of the uniforms; null keys draw too; one scan task's pairs are dealt over several."""
+    from corpuslab.functions.hashing import uniform
+    df = spark.createDataFrame([(None, 0.5), *((f"p{i}", i / 40) for i in range(40))], "pair string, rouge1 double").coalesce(1)
+    reps = df.select("rouge1", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("r"), "pair").select(
+        "r", "rouge1", uniform(F.col("pair"), F.col("r"), seed=42).alias("u")).collect()
+    w, x = [0] * 100, [0.0] * 100
+    for r in reps:
+        k = sum(r["u"] >= c for c in rg._poisson1_cdf())
+        w[r["r"]] += k
+        x[r["r"]] += k * r["rouge1"]
+    means = sorted(a / b for a, b in zip(x, w))
+    out = rg.rouge_bootstrap(df, "pair", cols=("rouge1",), n_samples=100)
+    assert abs(out.first()["mid"] - (means[49] + means[50]) / 2) < 1e-12
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "conv(" not in plan
