@@ -26,11 +26,14 @@ a pair whose sketches differ in more than (a + b) // 7 bits cannot link.  Plain
 sketches have at least as many bits as the set shingles; those of classes that
 pass are made again with ``FINE`` times the bits, which leaves few wrong pairs.
 
-*Links.*  Surviving pairs are verified with the whole sets.  In hot buckets the
-components found so far are contracted first: every class is verified against
-its nearest partner of another component, some rounds long, and only what is
-still in different components is then verified pair by pair.  No link between
-components is lost, and a group of near copies is not expanded into all pairs.
+*Links.*  Surviving pairs are verified with the whole sets, and components found are
+contracted before more is verified.  A class of small buckets is verified against one
+partner first; a hot bucket has a leader, and a class is verified against the leader it
+shares most buckets with.  Only pairs of different components go on, and of hot buckets
+those rows that still have a partner by the fine sketches: each is verified against its
+nearest partner of another component, as long as that finds links and ``ROUNDS`` times
+at most, and what is still apart pair by pair.  No link between components is lost, and
+a group of near copies is not expanded into all pairs.
 
 Components come from distributed minimum-label propagation over verified links.
 Every step's rows are in the shared checkpoint folder; the driver only sees
@@ -242,6 +245,32 @@ def bucket_rows(sig_rows: DataFrame) -> DataFrame:
     return cut_lineage(members.join(counts.select("sig", "c"), "sig"))
 
 
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b): a bucket's leader is the class that meets most others, and
+    every class pairs with the leader that it shares most buckets with."""
+    known = rows.withColumn("_w", F.sum("c").over(Window.partitionBy("cls")))
+    led = known.withColumn("lead", F.max(F.struct("_w", "cls")).over(Window.partitionBy("sig"))["cls"])
+    shared = led.where("cls != lead").groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("k"))
+    best = shared.groupBy("cls").agg(F.max(F.struct("k", "lead")).alias("m"))
+    return best.select(F.least("cls", "m.lead").alias("a"), F.greatest("cls", "m.lead").alias("b")).distinct()
+
+
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, cls, c, label): members of the buckets that hold several components."""
+    known = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    w = Window.partitionBy("sig")
+    marked = known.withColumns({"_lo": F.min("label").over(w), "_hi": F.max("label").over(w)})
+    return marked.where("_lo < _hi").select("sig", "cls", "c", "label")
+
+
+def open_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    one = labels.select(F.col("cls").alias("a"), F.col("label").alias("la"))
+    two = labels.select(F.col("cls").alias("b"), F.col("label").alias("lb"))
+    met = pairs.join(one, "a", "left").join(two, "b", "left")
+    return met.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
 def small_pairs(rows: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of the classes of small buckets."""
     lists = rows.where(F.col("c") <= HOT).groupBy("sig").agg(F.sort_array(F.collect_list("cls")).alias("m"))
@@ -319,15 +348,14 @@ def _near_matrix(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 
 def hot_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, cls, c) of the hot buckets' rows with a partner that passes."""
+    """(sig, cls, c) of the hot buckets' rows with a partner of another label that passes."""
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         some = np.zeros(len(pdf), dtype=bool)
         for lo, _, ok in _near_matrix(pdf):
             some[lo:lo + len(ok)] = ok.any(axis=1)
         return pdf.loc[some, ["sig", "cls"]]
 
-    hot = rows.where(F.col("c") > HOT)
-    kept = _block_rows(hot, classes).groupBy("sig", "b1", "b2").applyInPandas(keep, "sig long, cls long").distinct()
+    kept = _block_rows(rows, classes).groupBy("sig", "b1", "b2").applyInPandas(keep, "sig long, cls long").distinct()
     counts = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
     return cut_lineage(kept.join(counts, "sig"))
 
@@ -377,6 +405,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels of the components over new links and the components known before."""
+    return components(links.unionByName(labels.select(F.col("cls").alias("a"), F.col("label").alias("b"))))
+
+
 def class_components(df: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """(cls, doc, label): every class of ``docs`` (the rows' classes) with its
     smallest key and the label of its component."""
@@ -384,18 +417,28 @@ def class_components(df: DataFrame, docs: DataFrame, key_col: str, text_col: str
         F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     rows = bucket_rows(signature_rows(df, text_col))
     pairs = cut_lineage(sketch_test(small_pairs(rows), classes))
-    hot = hot_members(rows, classes)
+    hot = hot_members(rows.where(F.col("c") > HOT), classes)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
     sets = cut_lineage(fetch_sets(df, key_col, text_col, classes.join(wanted, "cls").select("cls", "doc")))
-    none = classes.select("cls", F.col("cls").alias("label"))
-    edges = verify(pairs.unionByName(hot_pairs(hot, sets, none, nearest=True)).distinct(), sets)
-    labels = components(edges)
-    for turn in range(1, ROUNDS + 1):
-        open_pairs = cut_lineage(hot_pairs(hot, sets, labels, nearest=turn < ROUNDS))
-        if open_pairs.isEmpty():                               # no bucket may still link two components
+    # one partner of every class first, which leaves few pairs of different components
+    pairs = cut_lineage(sketch_test(pairs, sets))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    led = cut_lineage(sketch_test(star_pairs(hot), sets))
+    labels = components(verify(first.unionByName(led).distinct(), sets))
+    links = cut_lineage(verify(open_pairs(pairs, labels), sets))
+    if not links.isEmpty():
+        labels = merged(links, labels)
+    if not hot.isEmpty():                                      # now by the fine sketches
+        hot = hot_members(open_rows(hot, labels), sets)
+    turn, nearest = 1, True
+    while not hot.isEmpty():
+        links = cut_lineage(verify(hot_pairs(hot, sets, labels, nearest), sets))
+        found = not links.isEmpty()
+        if found:
+            labels = merged(links, labels)
+        if not nearest:                                        # every pair that could link has been verified
             break
-        edges = labels.select(F.col("cls").alias("a"), F.col("label").alias("b")).unionByName(verify(open_pairs, sets))
-        labels = components(edges)
+        turn, nearest = turn + 1, found and turn + 1 < ROUNDS
     return classes.select("cls", "doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 

@@ -103,3 +103,19 @@ def test_shingles_follow_the_words():
         for j in range(len(texts)):
             assert np.array_equal(parts[i], parts[j]) == (brute.shingles(texts[i]) == brute.shingles(texts[j]))
     assert word_hashes(["ab ba", "ba ab"])[0].tolist()[0] == word_hashes(["ab ba", "ba ab"])[0].tolist()[3]
+
+
+def test_near_copies_are_not_verified_in_pairs(spark, make_docs, monkeypatch):
+    """Components are contracted on the way: a group of near copies costs some pairs a class, not all."""
+    verified = []
+
+    def counted(pairs, sets, was=partenum.verify):
+        verified.append(pairs.count())
+        return was(pairs, sets)
+
+    monkeypatch.setattr(partenum, "verify", counted)
+    for hot in (40, 4):
+        monkeypatch.setattr(partenum, "HOT", hot)
+        verified.clear()
+        check(spark, make_docs, near_copies(7, 1, 36, (120, 120), 0.01))
+        assert sum(verified) <= 3 * 36
