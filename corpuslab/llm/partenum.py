@@ -35,7 +35,7 @@ nearest partner of another component, as long as that finds links and ``ROUNDS``
 at most, and what is still apart pair by pair.  No link between components is lost, and
 a group of near copies is not expanded into all pairs.
 
-Components come from distributed minimum-label propagation over verified links.
+Components come from rounds that move verified links to the smallest class around.
 Every step's rows are in the shared checkpoint folder; the driver only sees
 counts and one fixed-size bitmap.
 
@@ -390,19 +390,26 @@ def hot_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, nearest: b
 
 # -- components ---------------------------------------------------------------
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, label): the smallest class reachable over edges (a, b)."""
-    both = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    """(cls, label): the smallest class reachable over edges (a, b), for every class but
+    the smallest ones themselves.
+
+    Every round hangs the larger neighbours of a class under its smallest neighbour, then
+    joins the smaller neighbours of a class under the smallest of them.  An edge never
+    moves up, so a round that moves none has reached stars around the smallest classes.
+    """
+    stars = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    w = Window.partitionBy("u")
     while True:
-        reach = both.join(labels.select(F.col("cls").alias("b"), "label"), "b").groupBy(F.col("a").alias("cls")).agg(
-            F.min("label").alias("near"))
-        stepped = labels.join(reach, "cls").select("cls", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("cls").alias("new"), F.col("label").alias("far"))
-        after = cut_lineage(stepped.join(jump, "new", "left").select("cls", "label", F.least("new", "far").alias("new")))
-        changed = after.where("new < label").limit(1).count()
-        labels = after.select("cls", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        near = stars.select(ends.alias("e")).select("e.u", "e.v").withColumn("m", F.least("u", F.min("v").over(w)))
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+        least = large.withColumn("m", F.min("v").over(w))
+        small = least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+                             F.col("m").alias("v"), (F.col("moved") | (F.col("v") != F.col("m"))).alias("moved"))
+        after = cut_lineage(small.groupBy("u", "v").agg(F.max("moved").alias("moved")))
+        stars = after.select("u", "v")
+        if after.where("moved").isEmpty():
+            return stars.select(F.col("u").alias("cls"), F.col("v").alias("label"))
 
 
 def merged(links: DataFrame, labels: DataFrame) -> DataFrame:

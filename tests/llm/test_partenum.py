@@ -119,3 +119,18 @@ def test_near_copies_are_not_verified_in_pairs(spark, make_docs, monkeypatch):
         verified.clear()
         check(spark, make_docs, near_copies(7, 1, 36, (120, 120), 0.01))
         assert sum(verified) <= 3 * 36
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(-10 ** 12, 10 ** 12), 60)
+    edges = list(zip(names[:20], names[1:20])) + [(names[20], x) for x in names[21:35]] + [(names[35], names[35])]
+    edges += [tuple(rng.sample(names[36:], 2)) for _ in range(16)]
+    group = {x: {x} for x in names}
+    for a, b in edges:
+        both = group[a] | group[b]
+        for x in both:
+            group[x] = both
+    got = partenum.components(spark.createDataFrame(edges + edges[:5], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, min(group[x])) for x in names if min(group[x]) != x)
+    assert partenum.components(spark.createDataFrame([], "a long, b long")).count() == 0
