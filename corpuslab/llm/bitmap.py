@@ -21,7 +21,8 @@ def bitmap_filter(values: DataFrame, column: str, bits: int):
     longs = [0] * (bits // 64)                                 # at most ``bits`` numbers come to the driver
     for s in slots:
         longs[s // 64] |= 1 << (s % 64)
-    table = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in longs])
+    # one expression from text: a literal each costs the driver many seconds
+    table = F.expr("array(" + ", ".join(f"{x - (1 << 64) if x >> 63 else x}L" for x in longs) + ")")
 
     def may_be(c: Column) -> Column:
         return F.getbit(F.get(table, F.shiftright(slot(c), 6)), slot(c) % 64) == 1

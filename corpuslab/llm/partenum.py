@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_dealt
 from .bitmap import bitmap_filter
 from .codepoints import text_slices
 from .shingles import GOLD, mix, shingle_sets
@@ -69,6 +69,8 @@ FINE = 8                   # a fine sketch has this many times the bits of a pla
 SEEN = 100_000             # classes whose signatures a task remembers to have emitted
 BITMAP = 1 << 18           # bits of the filter that fetches texts again
 SLICE_CHARS = 1 << 18
+TASK_ROWS = 1 << 13        # rows or pairs that a task takes at least, where there are as many
+TASK_LINKS = 1 << 16       # the same for links, of two numbers each
 
 
 def _bands() -> np.ndarray:
@@ -229,7 +231,24 @@ def fetch_sets(df: DataFrame, key_col: str, text_col: str, wanted: DataFrame) ->
 
     rows = df.select(F.col(key_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
     found = rows.where(may_be(F.col("doc"))).select("t").mapInArrow(work, "cls long, n long, shingles binary, sketch binary")
-    return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    return found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+
+
+def kept(df: DataFrame) -> DataFrame:
+    return cut_lineage_dealt(df, TASK_ROWS)
+
+
+def with_both(pairs: DataFrame, table: DataFrame, *cols: str) -> DataFrame:
+    """Distinct pairs (a, b) with the columns of both classes, as ``<col>_a`` and ``<col>_b``."""
+    one, two = (table.select(F.col("cls").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
+    pairs = kept(pairs)
+    if pairs.rdd.getNumPartitions() > 1:
+        return pairs.join(one, "a").join(two, "b")
+    few = F.broadcast(pairs)                                   # TASK_ROWS pairs at most go to the classes
+    sides = one.join(few, "a").unionByName(two.join(few, "b"), allowMissingColumns=True)
+    found = [f"{c}_{s}" for s in "ab" for c in cols]
+    met = cut_lineage_dealt(sides, 2 * TASK_ROWS).groupBy("a", "b").agg(*[F.first(c, ignorenulls=True).alias(c) for c in found])
+    return met.dropna(subset=found)
 
 
 # -- candidates ---------------------------------------------------------------
@@ -238,11 +257,11 @@ def bucket_rows(sig_rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("sig").orderBy("cls")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = sig_rows.withColumn("leader", F.first("cls").over(so_far)).withColumn("prev", F.lag("cls").over(w))
-    others = cut_lineage(marked.where((F.col("cls") != F.col("leader")) & (F.col("cls") != F.col("prev")))
+    others = kept(marked.where((F.col("cls") != F.col("leader")) & (F.col("cls") != F.col("prev")))
                          .select("sig", "leader", "cls"))
     counts = others.groupBy("sig", "leader").agg((F.count(F.lit(1)) + 1).alias("c"))
     members = others.select("sig", "cls").unionByName(counts.select("sig", F.col("leader").alias("cls")))
-    return cut_lineage(members.join(counts.select("sig", "c"), "sig"))
+    return kept(members.join(counts.select("sig", "c"), "sig"))
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -281,16 +300,13 @@ def small_pairs(rows: DataFrame) -> DataFrame:
 
 def sketch_test(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose sketches do not rule a link out."""
-    one = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-
     @F.pandas_udf("boolean")
     def passes(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
         return pd.Series([sketch_distance(s, t) <= (x + y) // 7 for x, y, s, t in zip(na, nb, sa, sb)], dtype=bool)
 
-    met = pairs.join(one, "a").where("na > 0").join(two, "b")
-    near = met.where((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
-    return near.where(passes("na", "nb", "sa", "sb")).select("a", "b")
+    met = with_both(pairs, classes.where("n > 0"), "n", "sketch")
+    near = met.where((4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a")))
+    return near.where(passes("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -304,9 +320,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             out.append(100 * common >= 75 * (len(u) + len(v) - common))
         return pd.Series(out, dtype=bool)
 
-    one = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(linked("x", "y")).select("a", "b")
+    return with_both(pairs, sets, "shingles").where(linked("shingles_a", "shingles_b")).select("a", "b")
 
 
 def _block_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -314,8 +328,10 @@ def _block_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     they take part in (blocks are cut by hash, so none is larger than about BLOCK)."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
-    met = rows.withColumn("nb", blocks).withColumn("own", own).join(
-        classes.select("cls", "n", "sketch"), "cls")
+    # a class meets its sketch once, whatever the number of its buckets
+    by_class = rows.groupBy("cls").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "cls"])).alias("_in"))
+    met = by_class.join(classes.select("cls", "n", "sketch"), "cls").select("cls", "n", "sketch", F.inline("_in"))
+    met = met.withColumn("nb", blocks).withColumn("own", own)
     return met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "sig", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "cls", "n", "sketch",
         *[c for c in rows.columns if c == "label"])
@@ -349,15 +365,15 @@ def _near_matrix(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 def hot_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(sig, cls, c) of the hot buckets' rows with a partner of another label that passes."""
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         some = np.zeros(len(pdf), dtype=bool)
         for lo, _, ok in _near_matrix(pdf):
             some[lo:lo + len(ok)] = ok.any(axis=1)
         return pdf.loc[some, ["sig", "cls"]]
 
-    kept = _block_rows(rows, classes).groupBy("sig", "b1", "b2").applyInPandas(keep, "sig long, cls long").distinct()
-    counts = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
-    return cut_lineage(kept.join(counts, "sig"))
+    near = _block_rows(rows, classes).groupBy("sig", "b1", "b2").applyInPandas(pick, "sig long, cls long").distinct()
+    counts = near.groupBy("sig").agg(F.count(F.lit(1)).alias("c"))
+    return kept(near.join(counts, "sig"))
 
 
 def hot_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
@@ -379,10 +395,7 @@ def hot_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, nearest: b
             dist.append(d[i, j])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "d": np.concatenate(dist)})
 
-    labelled = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    several = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    open_rows = labelled.join(several.select("sig"), "sig", "left_semi")
-    found = _block_rows(open_rows, classes).groupBy("sig", "b1", "b2").applyInPandas(pick, "a long, b long, d long")
+    found = _block_rows(open_rows(rows, labels), classes).groupBy("sig", "b1", "b2").applyInPandas(pick, "a long, b long, d long")
     if nearest:
         found = found.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -397,7 +410,7 @@ def components(edges: DataFrame) -> DataFrame:
     joins the smaller neighbours of a class under the smallest of them.  An edge never
     moves up, so a round that moves none has reached stars around the smallest classes.
     """
-    stars = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    stars = cut_lineage_dealt(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), TASK_LINKS)
     w = Window.partitionBy("u")
     while True:
         ends = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
@@ -406,7 +419,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.withColumn("m", F.min("v").over(w))
         small = least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                              F.col("m").alias("v"), (F.col("moved") | (F.col("v") != F.col("m"))).alias("moved"))
-        after = cut_lineage(small.groupBy("u", "v").agg(F.max("moved").alias("moved")))
+        after = cut_lineage_dealt(small.groupBy("u", "v").agg(F.max("moved").alias("moved")), TASK_LINKS)
         stars = after.select("u", "v")
         if after.where("moved").isEmpty():
             return stars.select(F.col("u").alias("cls"), F.col("v").alias("label"))
@@ -420,26 +433,26 @@ def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
 def class_components(df: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """(cls, doc, label): every class of ``docs`` (the rows' classes) with its
     smallest key and the label of its component."""
-    classes = cut_lineage(docs.where("n_shingles > 0").groupBy("cls").agg(
+    classes = kept(docs.where("n_shingles > 0").groupBy("cls").agg(
         F.min("doc").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     rows = bucket_rows(signature_rows(df, text_col))
-    pairs = cut_lineage(sketch_test(small_pairs(rows), classes))
+    pairs = kept(sketch_test(small_pairs(rows), classes))
     hot = hot_members(rows.where(F.col("c") > HOT), classes)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(hot.select("cls")).distinct()
-    sets = cut_lineage(fetch_sets(df, key_col, text_col, classes.join(wanted, "cls").select("cls", "doc")))
+    sets = kept(fetch_sets(df, key_col, text_col, kept(classes.join(wanted, "cls").select("cls", "doc"))))
     # one partner of every class first, which leaves few pairs of different components
-    pairs = cut_lineage(sketch_test(pairs, sets))
+    pairs = kept(sketch_test(pairs, sets))
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    led = cut_lineage(sketch_test(star_pairs(hot), sets))
+    led = kept(sketch_test(star_pairs(hot), sets))
     labels = components(verify(first.unionByName(led).distinct(), sets))
-    links = cut_lineage(verify(open_pairs(pairs, labels), sets))
+    links = kept(verify(open_pairs(pairs, labels), sets))
     if not links.isEmpty():
         labels = merged(links, labels)
     if not hot.isEmpty():                                      # now by the fine sketches
         hot = hot_members(open_rows(hot, labels), sets)
     turn, nearest = 1, True
     while not hot.isEmpty():
-        links = cut_lineage(verify(hot_pairs(hot, sets, labels, nearest), sets))
+        links = kept(verify(hot_pairs(hot, sets, labels, nearest), sets))
         found = not links.isEmpty()
         if found:
             labels = merged(links, labels)

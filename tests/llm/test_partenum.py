@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.llm import partenum
 from corpuslab.llm.queries import QUERIES
@@ -134,3 +135,49 @@ def test_components_of_paths_stars_and_loops(spark):
     got = partenum.components(spark.createDataFrame(edges + edges[:5], "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, min(group[x])) for x in names if min(group[x]) != x)
     assert partenum.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_steps_over_few_rows_have_few_tasks(spark):
+    """Partitions follow the rows, also where the session does not merge those of a shuffle."""
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(1, 20)], "a long, b long")
+        labels = partenum.components(edges)
+        assert labels.rdd.getNumPartitions() == 1
+        assert sorted(map(tuple, labels.collect())) == [(i, 1) for i in range(2, 21)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_pairs_meet_both_classes_whatever_their_number(spark, monkeypatch):
+    table = spark.createDataFrame([(i, i * 10) for i in range(1, 9)], "cls long, n long")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 8), (5, 99)], "a long, b long")
+    for rows in (8192, 1):
+        monkeypatch.setattr(partenum, "TASK_ROWS", rows)
+        got = partenum.with_both(pairs, table, "n").select("a", "b", "n_a", "n_b").collect()
+        assert sorted(map(tuple, got)) == [(1, 2, 10, 20), (1, 3, 10, 30), (4, 8, 40, 80)]
+
+
+def test_a_class_meets_its_sketch_once(spark):
+    """The join with sketches grows with the classes, not with their buckets."""
+    rows = spark.createDataFrame([(s, c, 3) for s in range(50) for c in (1, 2, 3)], "sig long, cls long, c long")
+    classes = spark.createDataFrame([(c, 5, b"x") for c in (1, 2, 3)], "cls long, n long, sketch binary")
+    out = partenum._block_rows(rows, classes)
+    assert sorted(map(tuple, out.select("sig", "cls", "n", "b1", "b2").collect())) == [
+        (s, c, 5, 0, 0) for s in range(50) for c in (1, 2, 3)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("collect_list")
+
+
+def test_bitmap_lets_every_value_pass(spark):
+    from corpuslab.llm.bitmap import bitmap_filter
+    for n in (0, 3, 2000):                                     # no bit, some, every bit of every number
+        values = spark.range(n).select(F.col("id").alias("k"))
+        may_be = bitmap_filter(values, "k", 128)
+        assert values.where(may_be(F.col("k"))).count() == n
+    assert spark.range(5000).where(bitmap_filter(spark.range(2000), "id", 128)(F.col("id"))).count() == 5000
+    assert spark.range(5000).where(bitmap_filter(spark.range(0), "id", 128)(F.col("id"))).count() == 0
