@@ -14,8 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -28,6 +27,7 @@ from ..functions import text as tx
 from ..functions.hashing import order_key
 from ..session import cut_lineage
 from . import features as fe
+from . import forest
 from . import metrics as me
 
 
@@ -123,11 +123,9 @@ def train_lr(train: DataFrame, features: str = "features", label: str = "label",
 
 
 def train_rf(train: DataFrame, features: str = "features", label: str = "label", num_trees: int = 100,
-             max_depth: int = 30, seed: int = 42):
-    """L3: random forest, sqrt feature subsets; depth capped at Spark's limit of 30."""
-    rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
-                                featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=seed)
-    return rf.fit(train)
+             max_depth: int = 30, seed: int = 42, key: str = "doc_id") -> forest.Forest:
+    """L3: random forest, sqrt feature subsets; depth capped at 30, as Spark ML's."""
+    return forest.grow(train, features, label, num_trees, max_depth, seed=seed, key=key)
 
 
 def train_mlp(train: DataFrame, n_features: int, features: str = "features", label: str = "label",
