@@ -7,11 +7,12 @@ encoding and decoding are joins, ranking is by range partitions.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import normal_vector
+from ..functions.hashing import normal_vector, normal_vectors
 from .rank import range_rank
 from .wordmap import map_tokens
 
@@ -51,11 +52,19 @@ def decode_ids(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, skip_ids
     return words.select(*key_cols, F.array_join("_w", " ").alias(out_col))
 
 
-def encode_sequence(ids, max_len: int, pad: int = 0) -> Column:
-    """Cut to ``max_len`` and right-pad with ``pad``; returns struct(input_ids, attention_mask)."""
+def encode_sequence(ids, max_len: int, pad: int = 0, text: bool = False) -> Column:
+    """Cut to ``max_len`` and right-pad with ``pad``; returns struct(input_ids, attention_mask),
+    with ``text`` both joined by commas: padding is then a repeated text and no padded array is made."""
     c = F.col(ids) if isinstance(ids, str) else ids
     cut = F.slice(c, 1, max_len)
     n = F.size(cut)
+    if text:
+        def joined(head, value):                               # all but an empty head end before a comma
+            left = F.lit(max_len) - n
+            return F.concat(head, F.when((n == 0) & (left > 0), F.concat(F.lit(str(value)), F.repeat(F.lit(f",{value}"), left - 1)))
+                            .otherwise(F.repeat(F.lit(f",{value}"), left)))
+        ones = F.when(n > 0, F.concat(F.lit("1"), F.repeat(F.lit(",1"), n - 1))).otherwise("")
+        return F.struct(joined(F.array_join(cut.cast("array<string>"), ","), pad).alias("input_ids"), joined(ones, 0).alias("attention_mask"))
     padded = F.concat(cut, F.array_repeat(F.lit(pad).cast("long"), F.lit(max_len) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
     return F.struct(padded.alias("input_ids"), mask.alias("attention_mask"))
@@ -104,6 +113,18 @@ def build_embedding_table(vocab: DataFrame, vectors: DataFrame, dim: int, key: s
                     F.coalesce(F.col("_v"), oov_vector(F.col(key), dim, seed=seed)).alias("vec"))
 
 
+def stored_vectors(vocab: DataFrame, vectors: DataFrame, key: str = "idx", vec_key: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """J1 without its draws: (idx, word, vec), ``vec`` null for an entry without a stored vector,
+    whose seeded one (``oov_vectors``) is drawn where it is used and so is neither kept nor moved."""
+    v = vectors.select(F.col(vec_key).alias(key), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"))
+    return vocab.join(v, on=key, how="left").select(key, "word", "vec")
+
+
+def oov_vectors(keys, dim: int, scale: float = 0.6, seed: int = 42) -> np.ndarray:
+    """M6 for many keys at once: the vectors of ``oov_vector``."""
+    return scale * normal_vectors(keys, dim, seed)
+
+
 def embedding_coverage(vocab: DataFrame, vectors: DataFrame, key: str = "idx",
                        vec_key: str = "vec_id") -> DataFrame:
     """Available / unavailable vocabulary entries."""

@@ -100,3 +100,51 @@ def test_longest_text_is_whole(spark, tmp_path):
     assert {len(r["input_ids"].split(",")) for r in seq} == {400} and max(r["n_real"] for r in seq) == 400
     assert {len(r["labels"].split(",")) for r in queries["mask_labels"](spark, str(tmp_path)).collect()} == {400}
     assert {r["doc_id"]: r["decoded"] for r in queries["decode_ids"](spark, str(tmp_path)).collect()} == dict(rows)
+
+
+def test_drawn_vectors_are_those_of_the_table(spark):
+    """A vector drawn where it is used is the one that the embedding table holds; only stored vectors move."""
+    from corpuslab.functions.hashing import normal_vector, normal_vectors
+    from corpuslab.operators import features as fe
+    keys = spark.createDataFrame([(k,) for k in (0, 1, 77, 10**12, -5)], "idx long")
+    for dim in (64, 7):
+        want = {r["idx"]: r["v"] for r in keys.select("idx", normal_vector(F.col("idx"), dim).alias("v")).collect()}
+        assert all(abs(a - b) < 1e-12 for k, v in want.items() for a, b in zip(v, normal_vectors([k], dim)[0], strict=True))
+    df = spark.createDataFrame([(1, ["a", "a", "b", "zz"]), (2, ["b", "c"]), (3, None), (4, ["zz"])], "k long, t array<string>")
+    voc = vb.build_vocab(df.where("k < 3"), "t").where("word <> 'zz'")
+    stored = spark.createDataFrame([(1, [1.0] * 8), (99, [2.0] * 8)], "vec_id long, embedding array<float>")
+    for how in ("mean", "max"):
+        a, b = ({r["k"]: r["pooled"] for r in fe.pool_vectors(fe.word_vectors(df, "k", "t", t, how, draw=d), "k", how=how).collect()}
+                for t, d in ((vb.build_embedding_table(voc, stored, 8), None), (vb.stored_vectors(voc, stored), lambda k: vb.oov_vectors(k, 8))))
+        assert a.keys() == b.keys() == {1, 2, 4} and all(abs(x - y) < 1e-12 for k in a for x, y in zip(a[k], b[k], strict=True))
+    assert sum(r["vec"] is not None for r in vb.stored_vectors(voc, stored).collect()) == 1
+
+
+def test_blocks_move_packed(spark, monkeypatch):
+    """A block is materialised and moved as one compressed row, not as its tokens."""
+    from corpuslab.operators import wordmap
+    monkeypatch.setattr(wordmap, "BLOCK_TOKENS", 10_000)
+    df = spark.range(300).select("id", F.array_repeat(F.lit("word"), 400).alias("t"))
+    rows = wordmap.packed_blocks(df, "t").collect()
+    assert len({r["_block"] for r in rows}) == len(rows) <= 20 and sum(len(r["_rows"]) for r in rows) < 300 * 400
+    got = wordmap.map_tokens(df, ["id"], "t", spark.createDataFrame([("word", 7)], "w string, i long"), "w", "i", "ids")
+    assert "_rows" in got._jdf.queryExecution().optimizedPlan().toString() and got.count() == 300
+
+
+def test_only_the_columns_asked_for_are_kept(spark):
+    from corpuslab.operators import models as md
+    df = spark.createDataFrame([(1, "one two", 0), (2, "two three", 1)], "doc_id long, text string, label int")
+    assert md.fit_tfidf(df).transform(df, columns=["doc_id", "label"]).columns == ["doc_id", "label", "features"]
+
+
+def test_sequences_as_text(spark):
+    """Joined text of the padded arrays, made without them."""
+    df = spark.createDataFrame([([5, 0, 7],), ([],), ([1, 2, 3, 4, 9, 8],), ([3],)], "ids array<bigint>")
+    join = lambda c: F.array_join(c.cast("array<string>"), ",")
+    for n in (0, 1, 3, 5):
+        a = vb.encode_sequence("ids", n)
+        b = vb.encode_sequence("ids", n, text=True)
+        labels = vb.encode_sequence(vb.mask_labels("ids"), n, pad=-100, text=True)["input_ids"]
+        for r in df.select(join(a["input_ids"]), b["input_ids"], join(a["attention_mask"]), b["attention_mask"],
+                           join(vb.mask_labels(a["input_ids"])), labels).collect():
+            assert r[0] == r[1] and r[2] == r[3] and r[4] == r[5]
